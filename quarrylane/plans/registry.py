@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarrylane.plans import packed_queries
+from quarrylane.plans import packed_queries, profile_queries, statement_queries
 
-MODULES = [packed_queries]
+MODULES = [packed_queries, profile_queries, statement_queries]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
