@@ -33,7 +33,7 @@ def is_expired(c: Column, today: str) -> Column:
 
 def synonyms(c: Column) -> Column:
     """The parts of a synonym cell."""
-    return F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), SYNONYM_SPLIT), F.trim), lambda s: s != "")
+    return F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), SYNONYM_SPLIT), lambda s: F.trim(s)), lambda s: s != "")
 
 
 def composed_type(data_type: Column, length: Column, scale: Column) -> Column:
