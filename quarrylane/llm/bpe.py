@@ -227,4 +227,5 @@ def encode(documents: DataFrame, path: str | None = None, key: str = "doc_id", t
                 part = b.iloc[at : at + rows]
                 yield pd.DataFrame({"doc_id": part["doc_id"], "ids": coder.texts(part["text"].tolist())})
 
-    return documents.selectExpr(f"cast(`{key}` as bigint) doc_id", f"`{text}` text").mapInPandas(work, "doc_id bigint, ids array<int>")
+    named = documents.selectExpr(f"cast(`{key}` as string) doc_id", f"`{text}` text")
+    return named.mapInPandas(work, "doc_id string, ids array<int>").selectExpr("cast(doc_id as bigint) doc_id", "ids")

@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Rows, at most, in which heavy terms are looked for; and terms, at most, that are counted in local arrays. Both
 #: only decide which way a term is counted, never whether.
@@ -24,16 +25,10 @@ def term_key(term: str | None) -> str | None:
     return unicodedata.normalize("NFC", term).strip().upper() or None
 
 
-def keyed(terms: DataFrame) -> DataFrame:
-    """rec, term with the term's key; each distinct term of a batch is worked on once."""
-
-    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            keys = {t: term_key(t) for t in b["term"].unique()}
-            b = b.assign(term=b["term"].map(keys))
-            yield b[b["term"].notna()]
-
-    return terms.select("src_field", "rec", "term").filter(F.col("term").isNotNull()).mapInPandas(work, "src_field string, rec bigint, term string")
+@F.pandas_udf(T.StringType())
+def keys(terms: pd.Series) -> pd.Series:
+    """The terms' keys; each distinct term of a batch is worked on once."""
+    return terms.map({t: term_key(t) for t in terms.unique()})
 
 
 def heavy_terms(records: DataFrame) -> list[tuple[str, str]]:
@@ -55,8 +50,8 @@ def frequencies(terms: DataFrame, rare_below: int = 3, common_share: float = 0.0
     Null and blank terms are left out, a null record counts as one record of its own. Repeated rows are occurrences.
     Without terms the result is empty. Terms are the same if their keys are (see term_key).
     """
-    by_record = keyed(terms).groupBy("src_field", "rec", "term").agg(F.count("*").alias("n"))
-    by_record = by_record.persist()
+    keyed = terms.select("src_field", "rec", keys("term").alias("term")).filter("term is not null")
+    by_record = keyed.groupBy("src_field", "rec", "term").agg(F.count("*").alias("n")).persist()
     heavy = heavy_terms(by_record)
     shared = terms.sparkSession.sparkContext.broadcast({k: i for i, k in enumerate(heavy)})
 
@@ -73,9 +68,11 @@ def frequencies(terms: DataFrame, rare_below: int = 3, common_share: float = 0.0
             np.add.at(occ, slots[hit], b["n"].to_numpy()[hit])
             np.add.at(rec, slots[hit], 1)
             rest = b[~hit]
-            yield pd.DataFrame({"src_field": rest["src_field"], "term": rest["term"], "n_occ": rest["n"], "n_rec": 1, "heavy": False})
+            if len(rest):
+                yield pd.DataFrame({"src_field": rest["src_field"], "term": rest["term"], "n_occ": rest["n"], "n_rec": 1, "heavy": False})
         used = np.nonzero(rec)[0]
-        yield pd.DataFrame({"src_field": [names[i][0] for i in used], "term": [names[i][1] for i in used], "n_occ": occ[used], "n_rec": rec[used], "heavy": True})
+        if len(used):
+            yield pd.DataFrame({"src_field": [names[i][0] for i in used], "term": [names[i][1] for i in used], "n_occ": occ[used], "n_rec": rec[used], "heavy": True})
 
     parts = by_record.select("src_field", "term", "n").mapInPandas(local, "src_field string, term string, n_occ bigint, n_rec bigint, heavy boolean")
     sums = [F.sum("n_occ").alias("n_occ"), F.sum("n_rec").alias("n_rec")]

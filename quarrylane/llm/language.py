@@ -247,11 +247,12 @@ def languages(documents: DataFrame, model: Model | None = None) -> DataFrame:
     rows. label is what the document's own label names: a code, null if it is missing, '?' for a language not known
     here. Code, identifiers and single foreign terms are of no language; a text with nothing else gives no row.
 
-    Null, empty and blank texts give no row; repeated rows each give their rows; very long texts are read whole.
+    Null, empty and blank texts give no row; a null doc_id stays null; repeated rows each give their rows; very long texts are read whole.
     Of equally likely languages, the first of LANGS counts. Without labelled rows all languages are as likely.
     Nothing but the labels' counts is shuffled.
     """
     documents = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", "lang").filter("text is not null")
+    named = documents.withColumn("doc_id", F.col("doc_id").cast("string"))
     model = model or train(labelled_sample(documents))
     shared = documents.sparkSession.sparkContext.broadcast((model.weights, model.bias, model.temperature))
 
@@ -265,7 +266,8 @@ def languages(documents: DataFrame, model: Model | None = None) -> DataFrame:
                     out += [(key, label_language(label), i, lang, c, len(found)) for i, (lang, c) in enumerate(found, 1)]
             yield pd.DataFrame(out, columns=["doc_id", "label", "seg_no", "lang", "confidence", "n_stretches"])
 
-    return documents.mapInPandas(work, "doc_id bigint, label string, seg_no int, lang string, confidence double, n_stretches int")
+    found = named.mapInPandas(work, "doc_id string, label string, seg_no int, lang string, confidence double, n_stretches int")
+    return found.withColumn("doc_id", F.col("doc_id").cast("bigint"))
 
 
 def relabelled(documents: DataFrame, model: Model | None = None) -> DataFrame:

@@ -161,7 +161,7 @@ def find(doc: list[str], own: np.ndarray, typed: np.ndarray, items: Items, hits:
 
 def item_blocks(items: DataFrame, block: int) -> Iterator[list[tuple[int, str]]]:
     rows: list[tuple[int, str]] = []
-    for r in items.select("item_id", "text").filter("text is not null").orderBy("item_id").toLocalIterator():
+    for r in items.select("item_id", "text").filter("text is not null and item_id is not null").orderBy("item_id", "text").toLocalIterator():
         rows.append((r["item_id"], r["text"]))
         if len(rows) == block:
             yield rows
@@ -179,13 +179,13 @@ def leaks(documents: DataFrame, items: DataFrame, block: int = 5000) -> DataFram
     template does and each slot is filled consistently. first_word and n_words give the longest such passage, of
     equal ones the first.
 
-    Null, empty and too short texts and items give no row. Repeated documents each give their rows; of items with the
+    Null, empty and too short texts and items, and items without an id, give no row; a null doc_id stays null. Repeated documents each give their rows; of items with the
     same id, each counts. Very long texts are read whole. Without items or documents the result is empty. The items
     are handed to all executors in blocks of bounded size, each of which is looked for in all documents; nothing is
     shuffled.
     """
-    documents = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").filter("text is not null")
-    schema = "doc_id bigint, item_id bigint, kind string, first_word int, n_words int"
+    documents = documents.select(F.col("doc_id").cast("string").alias("doc_id"), "text").filter("text is not null")
+    schema = "doc_id string, item_id bigint, kind string, first_word int, n_words int"
     found: DataFrame | None = None
     for rows in item_blocks(items, block):
         shared = documents.sparkSession.sparkContext.broadcast(rows)
@@ -201,7 +201,8 @@ def leaks(documents: DataFrame, items: DataFrame, block: int = 5000) -> DataFram
 
         one = documents.mapInPandas(search, schema)
         found = one if found is None else found.unionByName(one)
-    return found if found is not None else documents.sparkSession.createDataFrame([], schema)
+    found = found if found is not None else documents.sparkSession.createDataFrame([], schema)
+    return found.withColumn("doc_id", F.col("doc_id").cast("bigint"))
 
 
 def in_batch(keys: list[int], texts: list[str], items: Items) -> list[tuple]:

@@ -1,0 +1,323 @@
+"""The text operators on small fixtures: defined results of odd inputs, and brute force where SQL can't say it."""
+
+import random
+from collections import Counter
+
+import numpy as np
+import pytest
+from conftest import DATA
+
+from quarrylane.llm import bpe, catalog_match, frequency, glyphs, language, leakage, lookalike, mojibake
+
+VALUES = "src_field string, row_id bigint, value string"
+DOCS = "doc_id bigint, text string, lang string"
+CLASH = ["1 as std_id", "'x' as cost", "2 as seen", "3 as class", "4 as clean_text", "5 as restored", "6 as bin"]
+
+
+def values(spark, rows, extra=()):
+    df = spark.createDataFrame(rows, VALUES)
+    return df.selectExpr("*", *extra) if extra else df
+
+
+# ---- 2: canonical list
+
+
+CATALOG = [(1, "재고", "Inventory", "INVT"), (2, "단가", "Unitprice", "UPR"), (3, "재고단가", "Inventory Unitprice", "INVT_UPR"), (4, "번호", "Number", "NUM")]
+
+
+def catalog(spark, rows=CATALOG):
+    return spark.createDataFrame(rows, "std_id bigint, std_name string, eng_name string, abbr string")
+
+
+def test_catalog_finds_what_is_meant(spark):
+    texts = {
+        "재고단가": None, "INVT_UPR": None, "재고 단가": 3, "invt-upr": 3, "InventoryUnitprice": 3, "재고 Unitprice (필수)": 3, "● 재고단가*": 3, "5. 재고단가": 3, "재고단가 - v3": 3, "재고단가 : 10자리": 3,
+        "재꼬": 1, "재고다가": 3, "wofh": 1, "ＩＮＶＴ": 1, "Inventroy": 1, "번호호": 0, "재고단": 3, "벼루": 0, "재고 쪽에 물어볼 것": 0, "나": 0, "": None, "   ": None, None: None, "x" * 50_000: 0, "재​고": 1, "(재고)": 1,
+    }
+    rows = [("f", i, t) for i, t in enumerate(texts)]
+    got = {r["row_id"]: r["std_id"] for r in catalog_match.map_to_catalog(values(spark, rows, CLASH), catalog(spark)).collect()}
+    assert {t: got.get(i) for i, t in enumerate(texts)} == texts
+
+
+def test_catalog_blocks_ties_and_empty_tables(spark):
+    rows = [("f", 1, "재고 단가"), ("f", 1, "재고 단가"), ("f", None, "재꼬"), (None, 2, "번허"), ("f", 3, "재고단가")]
+    one, several = (sorted(map(tuple, catalog_match.map_to_catalog(values(spark, rows), catalog(spark), block=b).collect()), key=str) for b in (100, 1))
+    assert one == sorted([("f", 1, 3), ("f", 1, 3), ("f", None, 1), (None, 2, 4)], key=str)
+    # an entry of two others' names is only known by mixtures within its own block
+    assert [r for r in several if r[2]] == [r for r in one if r[2]]
+    assert {r[2] for r in catalog_match.map_to_catalog(values(spark, rows), catalog(spark, [])).collect()} == {0}
+    assert catalog_match.map_to_catalog(values(spark, []), catalog(spark)).count() == 0
+
+
+@pytest.mark.parametrize("seed", range(30))
+def test_edit_distance_against_brute_force(seed):
+    rng = random.Random(seed)
+    a, b = ("".join(rng.choice("abc") for _ in range(rng.randint(0, 6))) for _ in range(2))
+    d = {(i, 0): i for i in range(len(a) + 1)} | {(0, j): j for j in range(len(b) + 1)}
+    for i in range(1, len(a) + 1):
+        for j in range(1, len(b) + 1):
+            d[i, j] = min(d[i - 1, j] + 1, d[i, j - 1] + 1, d[i - 1, j - 1] + (a[i - 1] != b[j - 1]))
+            if i > 1 and j > 1 and a[i - 1] == b[j - 2] and a[i - 2] == b[j - 1]:
+                d[i, j] = min(d[i, j], d[i - 2, j - 2] + 1)
+    # common ends are taken off first, which may only help a swap that crosses them
+    assert catalog_match.near(a, b, 9) in (d[len(a), len(b)], d[len(a), len(b)] + 1) and catalog_match.near(a, b, 1) == min(2, catalog_match.near(a, b, 9))
+
+
+def test_mentions_are_the_longest_without_overlap():
+    names = catalog_match.Catalog([(i, n) for i, *n in CATALOG])
+    assert [m[2] for m in names.mentions(catalog_match.keys("재고단가번호"))] == [3, 4]
+
+
+# ---- 3: look-alikes
+
+
+def test_ordinary_forms(spark):
+    texts = {
+        "ＢＯＸ수량": "BOX수량", "ΒΟΧ수량": "BOX수량", "РLС주소": "PLC주소", "Σ곰취": None, "Ω 두루미": None, "μ물레": None, "재​고": "재고", "재ㅤ고": "재고", "\xa0재고　단가 ": "재고 단가", "재고": None,
+        "Señal": None, "Señal": "Señal", "재고": "재고", "재﻿고": "재고", "𝐊𝐏𝐈": "KPI", "a  b": "a b", "": None, "   ": None, "​": None, None: None, "ﾠ": None, "A_b-C.": None,
+        "Ａ" * 100_000: "A" * 100_000, "Α": None, "ΩΔ": None, "Αlpha": "Alpha", " 품질": "품질",
+    }
+    rows = [("f", i, t) for i, t in enumerate(texts)]
+    got = {r["row_id"]: r["clean_text"] for r in lookalike.ordinary_forms(values(spark, rows, CLASH)).collect()}
+    assert {t: got.get(i) for i, t in enumerate(texts)} == texts
+    assert all(glyphs.ordinary(t) == (w or t) for t, w in texts.items() if t and t.strip(" ​ﾠ") and w)
+    assert lookalike.ordinary_forms(values(spark, [])).count() == 0
+
+
+def test_ordinary_forms_keeps_repeats_and_nulls(spark):
+    rows = [("f", 1, "ＡＢ"), ("f", 1, "ＡＢ"), (None, None, "ＡＢ")] + [("g", i, "x\xa0y") for i in range(3000)]
+    got = Counter((r["src_field"], r["clean_text"]) for r in lookalike.ordinary_forms(values(spark, rows)).collect())
+    assert got == {("f", "AB"): 2, (None, "AB"): 1, ("g", "x y"): 3000}
+
+
+def test_sql_and_python_forms_agree(spark):
+    df = spark.read.parquet(f"{DATA}/word.parquet").selectExpr("'w' src_field", "word_id row_id", "logical value")
+    got = {r["row_id"]: r["clean_text"] for r in lookalike.ordinary_forms(df).collect()}
+    for r in df.filter("value is not null").collect():
+        clean = glyphs.ordinary(r["value"])
+        assert got.get(r["row_id"]) == (clean if clean and clean != r["value"] else None)
+
+
+# ---- 4: encodings
+
+
+CLEAN = ["재고 기준 (측정 단위 ㎡, 오차 ±52)", "Menge je Größe für 보증", "貿易 實務 用語로 정산", "처리 담당 부서가 정한 말로", "plain", "Übersicht 12", "공지 수량", "최종 확인 창고"]
+
+
+def garbled(text, right, wrong="cp1252"):
+    if wrong == "cp1252":
+        return "".join(map(mojibake.SHOWN.__getitem__, text.encode(right)))
+    return text.encode(right).decode(wrong)
+
+
+def test_restore(spark):
+    text = "처리 담당 부서가 정한 말로"
+    part = "재고 기준 " + garbled("(측정 단위", "utf-8")
+    cases = {
+        garbled(text, "utf-8"): text, garbled(garbled(text, "utf-8"), "utf-8"): text, garbled(text, "cp949"): text, garbled("Menge je Größe für 보증", "utf-8"): "Menge je Größe für 보증", part: "재고 기준 (측정 단위",
+        "공지 �량": "", "¿¿ 수량": "", "Größe ¿¿": "", text: None, "Übersicht 12": None, "plain": None, "": None, "  ": None, None: None, "¿Dónde está?": None, "貿易 實務 用語로 정산": None,
+        garbled(text, "utf-8") + "a" * 100_000: text + "a" * 100_000,
+    }
+    rows = [("f", 1000 + i, t) for i, t in enumerate(CLEAN * 40)] + [("f", i, t) for i, t in enumerate(cases)] + [("f", None, garbled(text, "utf-8"))] * 2
+    got = mojibake.restore(values(spark, rows, CLASH)).collect()
+    assert {t: next((r["restored"] for r in got if r["row_id"] == i), None) for i, t in enumerate(cases)} == cases
+    assert [r["restored"] for r in got if r["row_id"] is None] == [text] * 2 and not [r for r in got if (r["row_id"] or 0) >= 1000]
+    assert mojibake.restore(values(spark, [])).count() == 0
+
+
+def test_held_out_accuracy_of_restoring(spark):
+    """Half of the sound labels train, the other half is garbled and must come back."""
+    sound = [r[0] for r in spark.read.parquet("/root/testdata/sf0.01/screen_field.parquet").select("label").distinct().collect() if r[0] and mojibake.clean(r[0]) and not r[0].isascii()]
+    sound.sort()
+    train, held = sound[::2], sound[1::2]
+    total = np.zeros(mojibake.SINGLES + mojibake.PAIRS)
+    for v in train:
+        c = mojibake.codes(v)
+        np.add.at(total, c, 1)
+        np.add.at(total, mojibake.SINGLES + mojibake.pair_bins(c), 1)
+    model = mojibake.Model(total[: mojibake.SINGLES], total[mojibake.SINGLES :])
+    judge = mojibake.Restorer(model, mojibake.validated_margin(model, train))
+    back = [judge.value(garbled(v, "utf-8")) == v for v in held]
+    assert np.mean(back) > 0.97 and np.mean([judge.value(v) is None for v in held]) > 0.97
+
+
+# ---- 5: frequencies
+
+
+def test_frequencies_against_brute_force(spark):
+    rng = random.Random(3)
+    words = ["a", "A ", "b", " ", "", None, "é", "é", "hot"]
+    rows = [("f" if i % 3 else "g", rng.randrange(60), rng.choice(words + ["hot"] * 20)) for i in range(4000)] + [("f", 1000 + i, f"t{i % 700}") for i in range(1400)]
+    df = spark.createDataFrame(rows, "src_field string, rec bigint, term string").selectExpr("*", "1 as n", "2 as n_occ", "true as heavy", "3 as records")
+    occ, rec = Counter(), {}
+    for f, r, t in rows:
+        if k := frequency.term_key(t):
+            occ[f, k] += 1
+            rec.setdefault((f, k), set()).add(r)
+    held = {f: len({r for (g, _), rs in rec.items() if g == f for r in rs}) for f in "fg"}
+    want = {(f, k): (n, len(rec[f, k]), "rare" if len(rec[f, k]) < 3 else "common" if len(rec[f, k]) > 0.03 * held[f] else "usual") for (f, k), n in occ.items()}
+    got = {(r["src_field"], r["term_key"]): (r["n_occ"], r["n_rec"], r["freq_mark"]) for r in frequency.frequencies(df).collect()}
+    assert got == want
+    assert frequency.heavy_terms(df.groupBy("src_field", "rec", "term").count()) is not None
+
+
+def test_heavy_terms_only_change_the_way(spark, monkeypatch):
+    rows = [("f", i, f"t{i % 50}") for i in range(1000)] + [("f", i, "hot") for i in range(500)]
+    df = spark.createDataFrame(rows, "src_field string, rec bigint, term string")
+    light = sorted(map(tuple, frequency.frequencies(df).collect()))
+    monkeypatch.setattr(frequency, "DETECT_ROWS", 1400)
+    assert len(frequency.heavy_terms(df)) > 0
+    assert sorted(map(tuple, frequency.frequencies(df).collect())) == light
+
+
+def test_frequencies_of_nothing_and_of_nulls(spark):
+    schema = "src_field string, rec bigint, term string"
+    assert frequency.frequencies(spark.createDataFrame([], schema)).count() == 0
+    got = frequency.frequencies(spark.createDataFrame([("f", None, "x"), ("f", None, "x"), ("f", 2**60, "x"), ("f", 1, "y" * 100_000)], schema)).collect()
+    assert sorted((r["term_key"][:3], r["n_occ"], r["n_rec"]) for r in got) == [("X", 3, 2), ("YYY", 1, 1)]
+
+
+# ---- 6: token ids
+
+
+ODD = [
+    None, "", " ", "\n\n  \t x ", "a" * 5000, "ab" * 3000, "한" * 3000, "don't I'll THEY'RE", "<|endoftext|> x", "\x00\x01�", "é́🙂👩‍💻" * 80, "1234567890" * 50, "日本語のテキスト。中文文本", "x" * 255 + " " + "y" * 256 + " " + "z" * 257,
+]
+
+
+def reference_ids(texts):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(bpe.vocabulary_path())
+    t.encode_special_tokens = True
+    return [[] if not x else t.encode(x, add_special_tokens=False).ids for x in texts]
+
+
+def test_bpe_equals_the_public_library(spark):
+    rng = random.Random(5)
+    texts = ODD + ["".join(rng.choice("abcdeñ한글 1!\n'") for _ in range(rng.randrange(900))) for _ in range(120)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id bigint, text string").selectExpr("*", "'x' as ids")
+    got = {r["doc_id"]: r["ids"] for r in bpe.encode(df).collect()}
+    assert [got[i] for i in range(len(texts))] == reference_ids(texts)
+
+
+def test_bpe_equals_the_public_library_on_documents(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    got = {r["doc_id"]: r["ids"] for r in bpe.encode(docs).collect()}
+    keys = sorted(texts)
+    assert [got[k] for k in keys] == reference_ids([texts[k] for k in keys])
+
+
+def test_bpe_rows(spark):
+    df = spark.createDataFrame([(1, "x"), (1, "x"), (None, "y"), (2**60 + 1, None)], "doc_id bigint, text string")
+    assert sorted(map(str, (tuple(r) for r in bpe.encode(df).collect()))) == sorted(map(str, [(1, [87]), (1, [87]), (None, [88]), (2**60 + 1, [])]))
+    assert bpe.encode(df.limit(0)).count() == 0
+
+
+def test_bpe_splits_like_the_public_pattern():
+    public = pytest.importorskip("public_tokenizers")
+    import regex
+
+    for t in filter(None, ODD):
+        assert regex.findall(bpe.PATTERN, t) == regex.findall(public.PATTERN, t)
+
+
+# ---- 7: leakage
+
+
+def brute_leaks(doc, item):
+    d, w = leakage.words(doc), leakage.words(item)
+    for i in range(len(d)):
+        for j in range(len(w)):
+            k = bad = 0
+            while i + k < len(d) and j + k < len(w):
+                bad += d[i + k] != w[j + k]
+                k += 1
+                if k >= 12 and bad * 10 <= k and d[i] == w[j] and d[i + k - 1] == w[j + k - 1]:
+                    return True
+    return False
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_leaks_against_brute_force(spark, seed):
+    rng = random.Random(seed)
+    vocab = [f"w{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(40)]
+    items = [(i, " ".join(rng.choice(vocab) for _ in range(rng.randrange(8, 40)))) for i in range(12)]
+    docs = []
+    for d in range(60):
+        src = rng.choice(items)[1].split()
+        a = rng.randrange(max(1, len(src) - 8))
+        part = src[a : a + rng.randrange(6, 30)]
+        part = [rng.choice(vocab) if rng.random() < 0.08 else w for w in part]
+        docs.append((d, " ".join([rng.choice(vocab) for _ in range(5)] + part + [rng.choice(vocab) for _ in range(5)])))
+    got = leakage.leaks(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string"), block=5)
+    found = {(r["doc_id"], r["item_id"]) for r in got.filter("kind = 'verbatim'").collect()}
+    assert found == {(d, i) for d, t in docs for i, x in items if brute_leaks(t, x)}
+
+
+ITEM = "When the Misewyn loader in plant Q926 writes batch 8798, the Misepham ledger keeps 8019 open rows until Braepham confirms the Pelesby checksum."
+
+
+def leak_kinds(spark, text, items=((1, ITEM),)):
+    pad = [(100 + i, f"When the {a} loader in plant Q{i} writes batch {i}77, the {b} ledger keeps {i}19 open rows until {c} confirms the {d} checksum.") for i, (a, b, c, d) in enumerate([("Ka", "Kb", "Kc", "Kd"), ("La", "Lb", "Lc", "Ld"), ("Ma", "Mb", "Mc", "Md")])]
+    docs = spark.createDataFrame([(1, text)], "doc_id bigint, text string").selectExpr("*", "'x' as kind", "0 as item_id")
+    got = leakage.leaks(docs, spark.createDataFrame([*items, *pad], "item_id bigint, text string")).collect()
+    return {(r["item_id"], r["kind"]) for r in got if r["item_id"] < 100}
+
+
+def test_leaks_regardless_of_layout(spark):
+    w = ITEM.split()
+    assert leak_kinds(spark, ITEM) == {(1, "verbatim")}
+    assert leak_kinds(spark, "> " + "\n> ".join(ITEM.upper().split())) == {(1, "verbatim")}
+    assert leak_kinds(spark, "　".join(f'({x})"' for x in w[:12])) == {(1, "verbatim")}
+    assert leak_kinds(spark, "x " + " ".join(w[:5] + ["other"] + w[6:12])) == {(1, "verbatim")}
+    assert leak_kinds(spark, " ".join(w[:11])) == set()
+    assert leak_kinds(spark, ITEM.replace("Misewyn", "Orbu").replace("Q926", "Q1").replace("8798", "12").replace("Misepham", "Veno").replace("8019", "77").replace("Braepham", "Talo").replace("Pelesby", "Nexa")) == {(1, "reparameterised")}
+
+
+def test_leaks_of_odd_rows(spark):
+    item = spark.createDataFrame([(1, ITEM), (2, None), (3, ""), (None, ITEM)], "item_id bigint, text string")
+    docs = spark.createDataFrame([(1, ITEM), (1, ITEM), (None, ITEM), (2, None), (3, ""), (4, "x " * 200_000 + ITEM)], "doc_id bigint, text string")
+    assert sorted(str((r["doc_id"], r["item_id"])) for r in leakage.leaks(docs, item).collect()) == ["(1, 1)", "(1, 1)", "(4, 1)", "(None, 1)"]
+    assert leakage.leaks(docs, item.limit(0)).count() == 0 and leakage.leaks(docs.limit(0), item).count() == 0
+
+
+# ---- 8: languages
+
+
+@pytest.fixture(scope="module")
+def model(spark):
+    return language.train(language.labelled_sample(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), rows=120))
+
+
+KO, EN, DE = "담당자가 출하 요청을 등록하면 서비스가 한 줄을 넣고 결과를 돌려준다.", "The training slides show the budget steps backwards; please correct them before next month.", "In der Verknüpfung stand noch der alte Name, deshalb stimmten die Summen der Einlagerung nicht."
+JA, ZH, ES = "結合条件に古い名前が残っていたので、割引の件数が合いませんでした。", "没有报价权限的用户点击按钮时只会看到提示。", "El historial de carga permanece durante muchos meses y luego se mueve a otro lugar."
+
+
+def test_languages_of_single_and_mixed_texts(model):
+    texts = [KO, EN, DE, JA, ZH, ES, f"{KO} {EN} {KO}", f"{DE}\n\n{ES}", f"{JA}{ZH}", None, "", " ", "---", "493497\n5072", "SELECT a.X, b.Y\n  FROM TB_A a\n WHERE a.Z = #{p}", "getHandling TB_X", EN * 2000]
+    got = [[x for x, _ in s] for s in language.stretches(model, texts)]
+    assert got == [["ko"], ["en"], ["de"], ["ja"], ["zh"], ["es"], ["ko", "en", "ko"], ["de", "es"], ["ja", "zh"], [], [], [], [], [], [], [], ["en"]]
+
+
+def test_held_out_accuracy(spark, model):
+    """Documents that the model wasn't fitted on, whose script or function words show their language."""
+    rows = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").filter("text is not null").collect()
+    sure = [(r["text"], language.label_language(r["lang"])) for r in rows]
+    sure = [(t, k) for t, k in sure if k in language.LANGS]
+    hits = [[x for x, _ in s] == [k] for s, (_, k) in zip(language.stretches(model, [t for t, _ in sure]), sure, strict=True)]
+    assert np.mean(hits) > 0.85  # about a tenth of the labels are wrong, or the texts mixed
+
+
+def test_relabelled(spark, model):
+    rows = [(1, KO, "ko"), (2, KO, "ko-KR"), (3, KO, "Korean"), (4, KO, None), (5, KO, "en"), (6, f"{KO} {EN}", "ko"), (7, "123", None), (8, EN, "und"), (8, EN, "und"), (None, EN, "fr"), (9, None, "ko"), (10, "", None)]
+    df = spark.createDataFrame(rows, DOCS).selectExpr("*", "0 as label", "1 as seg_no", "2 as confidence")
+    got = sorted(str((r["doc_id"], r["seg_no"], r["lang"])) for r in language.relabelled(df, model).collect())
+    assert got == sorted(map(str, [(4, 1, "ko"), (5, 1, "ko"), (6, 1, "ko"), (6, 2, "en"), (8, 1, "en"), (8, 1, "en"), (None, 1, "en")]))
+    assert language.languages(spark.createDataFrame([], DOCS)).count() == 0
+
+
+@pytest.mark.parametrize(("label", "want"), [("KO", "ko"), ("kor", "ko"), ("en_GB", "en"), ("German", "de"), ("zh-Hans", "zh"), ("spa", "es"), ("jpn", "ja"), ("und", None), ("-", None), (" ", None), (None, None), ("unknown", None), ("fr", "?")])
+def test_labels(label, want):
+    assert language.label_language(label) == want
