@@ -205,7 +205,7 @@ def _pieces(cells: DataFrame, fields: dict[str, PackedField]) -> DataFrame:
                 out.append(got)
             yield pd.DataFrame({"src_field": b["src_field"], "row_id": b["row_id"], "parts": out})
 
-    return cells.mapInPandas(work, "src_field string, row_id bigint, parts array<struct<txt: string, open: boolean>>")
+    return cells.mapInPandas(work, "src_field string, row_id string, parts array<struct<txt: string, open: boolean>>")
 
 
 def _delimiters(rows: list[Row]) -> dict[str, dict[str, float]]:
@@ -286,15 +286,15 @@ def unpack(cells: DataFrame, fields: list[PackedField], rounds: int = ROUNDS) ->
     not for itself; values that no other piece supports are judged by their characters.
 
     val has no blanks at its ends and no enclosing quotes; empty values are left out and don't count in val_pos;
-    repeated values stay. Null and blank cells, and those of '-' alone, hold no value. Repeated rows each count; a
-    row is named by src_field and row_id. Very long cells are read whole. Without cells the result is empty.
+    repeated values stay. Null and blank cells, and those of '-' alone, hold no value. Repeated rows each
+    count, a null row_id stays null. Very long cells are read whole. Without cells the result is empty.
 
     Pieces are pre-aggregated before each shuffle. Only rows with an open piece are joined with the decoded pieces
     (one row each; adaptive execution splits a frequent one) and put together by row_id.
     """
     by_name = {f.name: f for f in fields}
     inside = {f.name: f.inside for f in fields}
-    cells = cells.select("src_field", F.col("row_id").cast("bigint").alias("row_id"), "cell").filter(F.col("cell").isNotNull() & F.col("src_field").isin(list(by_name)))
+    cells = cells.select("src_field", F.col("row_id").cast("string").alias("row_id"), "cell").filter(F.col("cell").isNotNull() & F.col("src_field").isin(list(by_name)))
     parts = cut(_pieces(cells, by_name).filter(F.size("parts") > 0))
     each = parts.select("src_field", F.explode("parts").alias("p")).groupBy("src_field", F.col("p.open").alias("open"), F.col("p.txt").alias("piece")).agg(F.count("*").alias("n"))
     each = cut(each)
@@ -325,4 +325,6 @@ def unpack(cells: DataFrame, fields: list[PackedField], rounds: int = ROUNDS) ->
     fixed = loose.filter("not p.open").select("src_field", "row_id", "uid", "at", F.expr("filter(array(p.txt), v -> v <> '')").alias("vals"))
     split = loose.filter("p.open").withColumn("piece", F.col("p.txt")).join(decoded, ["src_field", "piece"]).select("src_field", "row_id", "uid", "at", "vals")
     mixed = fixed.unionByName(split).groupBy("src_field", "row_id", "uid").agg(F.expr("flatten(transform(array_sort(collect_list(struct(at, vals))), x -> x.vals))").alias("vals")).drop("uid")
-    return plain.unionByName(mixed).select("src_field", "row_id", F.size("vals").alias("n_vals"), F.posexplode("vals").alias("val_pos", "val")).withColumn("val_pos", F.col("val_pos") + 1)
+    return plain.unionByName(mixed).select(
+        "src_field", F.col("row_id").cast("bigint").alias("row_id"), F.size("vals").alias("n_vals"), F.posexplode("vals").alias("val_pos", "val")
+    ).withColumn("val_pos", F.col("val_pos") + 1)
