@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,7 +16,7 @@ BROADCAST_BYTES = 16 << 20
 
 def local_session(cores: str | int = "*", memory: str = "8g", name: str = "quarrylane") -> SparkSession:
     """A session for tests and benchmarks on one machine."""
-    return (
+    spark = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName(name)
         .config("spark.sql.shuffle.partitions", "8")
@@ -25,6 +27,8 @@ def local_session(cores: str | int = "*", memory: str = "8g", name: str = "quarr
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
+    ship(spark)
+    return spark
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -47,6 +51,28 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def ship(spark: SparkSession) -> None:
+    """Hand this package to the session's Python workers, once: they may run where it is not on the path."""
+    sc = spark.sparkContext
+    if getattr(sc, "_quarrylane_shipped", False):
+        return
+    here = os.path.dirname(os.path.abspath(__file__))
+    folder = spark.conf.get("spark.checkpoint.dir", None) or ""
+    folder = folder.removeprefix("file://")
+    if not folder.startswith("/"):
+        folder = tempfile.mkdtemp(prefix="quarrylane-")
+    os.makedirs(folder, exist_ok=True)
+    path = os.path.join(folder, f"quarrylane-{uuid.uuid4().hex}.zip")
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        for top, _, names in os.walk(here):
+            for n in sorted(names):
+                if n.endswith(".py"):
+                    full = os.path.join(top, n)
+                    z.write(full, os.path.join("quarrylane", os.path.relpath(full, here)))
+    sc.addPyFile(path)
+    sc._quarrylane_shipped = True
+
+
 def estimated_bytes(df: DataFrame) -> int:
     """The optimizer's size estimate of df."""
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
@@ -58,4 +84,5 @@ def small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
