@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 LANGS = ("ko", "en", "ja", "zh", "de", "es")
 #: Labelled rows of each language, about, on which the model is fitted, and rows at most.
-TRAIN_ROWS, TRAIN_MOST = 500, 5000
+TRAIN_ROWS, TRAIN_MOST = 300, 3000
 #: Hashed features; characters of a feature, at most.
 BITS, ORDER = 17, 3
 #: Letters that a piece of text needs to speak for a language, and from which it speaks with full weight.
@@ -40,6 +40,7 @@ IDENTIFIER = re.compile(r"https?://\S+|\S+@\S+\.\w+|[#$]\{[^}]*\}|\b[A-Za-z]*\d[
 SENTENCE = re.compile(r"(?<=[.!?…])[\"'”’)\]]*\s+|(?<=[。！？])|\s*\n+\s*|\s+/\s+|\s+\|\s+")
 LATIN_RUN = re.compile(r"(?:[A-Za-zÀ-ɏ'’,;:()\"“”-]+[ \t.]+){4,}[A-Za-zÀ-ɏ'’]+[.!?]?")
 LETTER = re.compile(r"[^\W\d_]")
+NO_LETTERS = re.compile(r"[\W\d_]+")
 EAST = re.compile("[ᄀ-ᇿ぀-ヿ㐀-鿿가-힣]")
 
 
@@ -83,8 +84,9 @@ class Features:
     """Hashed character n-grams of many sentences at once: feature of each place, and where each sentence starts."""
 
     def __init__(self, texts: list[str]):
-        raw = " ".join(f" {re.sub(r'[\W\d_]+', ' ', t.lower()).strip()} " for t in texts)
-        sizes = [len(re.sub(r"[\W\d_]+", " ", t.lower()).strip()) + 2 for t in texts]
+        plain = [NO_LETTERS.sub(" ", t.lower()).strip() for t in texts]
+        raw = " ".join(f" {p} " for p in plain)
+        sizes = [len(p) + 2 for p in plain]
         c = np.frombuffer(raw.encode("utf-32-le"), np.uint32).astype(np.uint64)
         self.starts = np.cumsum([0] + [n + 1 for n in sizes[:-1]]) if texts else np.zeros(0, np.int64)
         self.lengths = np.array(sizes, np.int64)
@@ -130,32 +132,38 @@ def softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(-1, keepdims=True)
 
 
-def fit_ftrl(texts: list[str], y: np.ndarray, alpha: float = 0.012, beta: float = 1.0, l1: float = 0.02, l2: float = 0.2, rounds: int = 2, scale: float = 20.0) -> tuple[np.ndarray, np.ndarray]:
-    """Weights (scaled by IDF) and bias, by the follow-the-regularised-leader proximal rule with elastic net."""
-    features, n = Features(texts), 1 << BITS
+def fit_ftrl(texts: list[str], y: np.ndarray, alpha: float = 0.012, beta: float = 1.0, l1: float = 0.02, l2: float = 0.2, rounds: int = 2, scale: float = 20.0, batch: int = 16) -> tuple[np.ndarray, np.ndarray]:
+    """Weights (scaled by IDF) and bias, by the follow-the-regularised-leader proximal rule with elastic net, a few
+    sentences at a time."""
+    features, n, k = Features(texts), 1 << BITS, len(LANGS)
     rows = [np.unique(features.one(i), return_counts=True) for i in range(len(texts))]
-    df = np.zeros(n)
-    for f, _ in rows:
-        df[f] += 1
+    df = np.bincount(np.concatenate([f for f, _ in rows]), minlength=n)
     idf = np.log((1 + len(texts)) / (1 + df)) + 1
-    z, g2 = np.zeros((n, len(LANGS))), np.zeros((n, len(LANGS)))
-    bias = np.zeros(len(LANGS))
+    values = [scale * c * idf[f] / (features.lengths[i] * ORDER) for i, (f, c) in enumerate(rows)]
+    z, g2, bias = np.zeros((n, k)), np.zeros((n, k)), np.zeros(k)
+
+    def weights(z: np.ndarray, g2: np.ndarray) -> np.ndarray:
+        return np.where(np.abs(z) <= l1, 0.0, -(z - np.sign(z) * l1) / ((beta + np.sqrt(g2)) / alpha + l2))
+
     order = np.random.default_rng(7)
     for _ in range(rounds):
-        for i in order.permutation(len(texts)):
-            f, k = rows[i]
-            x = scale * k * idf[f] / (features.lengths[i] * ORDER)
-            zf, root = z[f], np.sqrt(g2[f])
-            w = np.where(np.abs(zf) <= l1, 0.0, -(zf - np.sign(zf) * l1) / ((beta + root) / alpha + l2))
-            p = softmax(x @ w + bias)
-            p[y[i]] -= 1
-            g = x[:, None] * p
+        shuffled = order.permutation(len(texts))
+        for at in range(0, len(texts), batch):
+            some = shuffled[at : at + batch]
+            sizes = [len(values[i]) for i in some]
+            f, where = np.unique(np.concatenate([rows[i][0] for i in some]), return_inverse=True)
+            x = np.concatenate([values[i] for i in some])
+            w = weights(z[f], g2[f])
+            starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+            p = softmax(np.add.reduceat(x[:, None] * w[where], starts, axis=0) + bias)
+            p[np.arange(len(some)), y[some]] -= 1
+            part = x[:, None] * np.repeat(p, sizes, axis=0)
+            g = np.stack([np.bincount(where, part[:, j], len(f)) for j in range(k)], axis=1)
             new = g2[f] + g * g
-            z[f] += g - (np.sqrt(new) - root) / alpha * w
+            z[f] += g - (np.sqrt(new) - np.sqrt(g2[f])) / alpha * w
             g2[f] = new
-            bias -= 0.01 * p
-    w = np.where(np.abs(z) <= l1, 0.0, -(z - np.sign(z) * l1) / ((beta + np.sqrt(g2)) / alpha + l2))
-    return (w * scale * idf[:, None]).astype(np.float32), bias
+            bias -= 0.01 * p.sum(0)
+    return (weights(z, g2) * scale * idf[:, None]).astype(np.float32), bias
 
 
 def calibrate(weights: np.ndarray, bias: np.ndarray, texts: list[str], y: np.ndarray) -> float:
