@@ -232,14 +232,17 @@ class Base:
 def _bases(counts: DataFrame) -> dict[str, Base]:
     """Each field's base from its values; what comes to the driver is bounded by the alphabet."""
     types = counts.filter("count >= 0.5")
-    sums = types.groupBy("src_field").agg(F.sum("count").alias("total"), F.count("*").alias("types"), F.sum(F.when(F.col("count") < 1.5, 1).otherwise(0)).alias("once")).collect()
-    letters = types.select("src_field", F.explode(F.split("value", "")).alias("c")).filter("c <> ''").groupBy("src_field", "c").count().collect()
+    # one row for each character and one, of no character, for the value itself
+    each = types.select("src_field", "count", F.explode(F.array_append(F.filter(F.split("value", ""), lambda c: c != ""), F.lit(""))).alias("c"))
+    own = F.when(F.col("c") == "", F.col("count"))
+    rows = each.groupBy("src_field", "c").agg(F.count("*").alias("n"), F.sum(own).alias("total"), F.count(F.when(own < 1.5, 1)).alias("once")).collect()
     out = {}
-    for r in sums:
-        own = {x["c"]: x["count"] for x in letters if x["src_field"] == r["src_field"]} | {"": r["types"]}
-        seen = sum(own.values()) + 0.5 * (len(own) + 1)
-        logs = {c: math.log((n + 0.5) / seen) for c, n in own.items()}
-        out[r["src_field"]] = Base(r["total"], r["total"] * max(r["once"] / r["total"], 1e-3), logs, math.log(0.5 / seen))
+    for r in rows:
+        if r["c"] == "":
+            seen = {x["c"]: x["n"] for x in rows if x["src_field"] == r["src_field"]}
+            mass = sum(seen.values()) + 0.5 * (len(seen) + 1)
+            logs = {c: math.log((n + 0.5) / mass) for c, n in seen.items()}
+            out[r["src_field"]] = Base(r["total"], r["total"] * max(r["once"] / r["total"], 1e-3), logs, math.log(0.5 / mass))
     return out
 
 
@@ -306,7 +309,7 @@ def unpack(cells: DataFrame, fields: list[PackedField], rounds: int = ROUNDS) ->
             c = [[{"i": i, "j": j, "value": v} for i, j, v in candidates(by[f].pieces(p)[0])] for f, p in zip(b["src_field"], b["piece"], strict=True)]
             yield pd.DataFrame({"src_field": b["src_field"], "piece": b["piece"], "cands": c})
 
-    pieces = each.filter("open").mapInPandas(listed, "src_field string, piece string, cands array<struct<i: int, j: int, value: string>>")
+    pieces = cut(each.filter("open").mapInPandas(listed, "src_field string, piece string, cands array<struct<i: int, j: int, value: string>>"))
     counts, part = single, {}
     bases = _bases(counts)
     for _ in range(rounds):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import uuid
@@ -46,9 +47,39 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Write df to the shared folder and go on from there, so that a lost executor costs no recomputation."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write df as a table in the shared folder and go on from there, so that a lost executor costs no recomputation.
+
+    Unlike checkpoint(), this computes df once, and the planner knows its size. The folder belongs to the session's
+    application, which removes it at its end.
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    _CUTS.append(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+_CUTS: list[str] = []
+
+
+def clear_cuts(spark: SparkSession) -> None:
+    """Remove the tables that cut has written; nothing made of them may be used afterwards."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    while _CUTS:
+        path = jvm.org.apache.hadoop.fs.Path(_CUTS.pop())
+        path.getFileSystem(conf).delete(path, True)
+
+
+def _at_exit() -> None:
+    spark = SparkSession.getActiveSession()
+    if spark is not None and _CUTS:
+        try:
+            clear_cuts(spark)
+        except Exception:  # noqa: BLE001 - the session may be gone already
+            pass
+
+
+atexit.register(_at_exit)
 
 
 def ship(spark: SparkSession) -> None:
