@@ -12,13 +12,13 @@ from pyspark.sql import functions as F
 
 LANGS = ("ko", "en", "ja", "zh", "de", "es")
 #: Labelled rows of each language, about, on which the model is fitted, and rows at most.
-TRAIN_ROWS, TRAIN_MOST = 300, 3000
+TRAIN_ROWS, TRAIN_MOST = 700, 6000
 #: Hashed features; characters of a feature, at most.
 BITS, ORDER = 17, 3
 #: Letters that a piece of text needs to speak for a language, and from which it speaks with full weight.
 FEWEST, FULL = 4, 24
 #: What a change of language must gain, in nats.
-SWITCH = 3.0
+SWITCH = 2.0
 
 # Writings of the languages' names and codes, in lower case and without region.
 NAMES = {
