@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quarrylane.operators import migrate as mig
 from quarrylane.operators import statements as st
-from quarrylane.plans.statement_queries import B3, mined
+from quarrylane.plans.statement_queries import B3, B5, mined
 from quarrylane.plans.tables import catalog_columns, statements, values, values_sql
 from quarrylane.session import table
 from quarrylane.sources import mapper
@@ -128,6 +128,16 @@ def g17_column_impact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mig.column_impact(mined(spark, sf_dir), flat(spark, sf_dir))
 
 
+G17C = f"""
+WITH r AS (SELECT DISTINCT mapper, id, table_name, column_name FROM ({B5}))
+SELECT m.as_is_table, m.as_is_column, coalesce(m.to_be_table || '.' || m.to_be_column, '<dropped>') AS to_be, count(r.id) AS n_statements
+FROM {MAP} m LEFT JOIN r ON r.table_name = m.as_is_table AND r.column_name = m.as_is_column GROUP BY ALL"""
+G14 = f"""
+WITH t AS ({B3}), r AS (SELECT DISTINCT mapper, id, table_name, column_name FROM ({B5}))
+SELECT mapper, id, 'error' AS level, 'UNKNOWN_TABLE' AS code, table_name AS place FROM t WHERE table_name NOT IN (SELECT table_name FROM column_rec)
+UNION ALL SELECT mapper, id, 'error', 'UNKNOWN_COLUMN', table_name || '.' || column_name FROM (SELECT * FROM r WHERE table_name IN (SELECT table_name FROM column_rec)) ANTI JOIN (SELECT DISTINCT table_name, column_name FROM column_rec) USING (table_name, column_name)"""
+
+
 def g18_mismatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The mapping of two of three columns against the whole catalog."""
     m = flat(spark, sf_dir).filter("to_be_column is null or to_be_column <> as_is_column")
@@ -199,6 +209,6 @@ SQL = {
     "a14_mapper_statements": f"SELECT * FROM {values_sql('path string, namespace string, id string, type string, sql string', STATEMENT_ROWS)}",
     "a27_flat_mapping": f"SELECT as_is_table, as_is_column, as_is_type, to_be_table, to_be_column, to_be_type FROM {MAP}", "b18_statement_crud": B18,
     "b20_paths": f"SELECT * FROM {values_sql('id string, path_no int, label string, sql string', PATH_ROWS)}",
-    "g10_value_map": G10, "g14_unknown_tables": f"SELECT mapper, id, table_name AS place FROM ({B3}) WHERE table_name NOT IN (SELECT table_name FROM column_rec)", "g17_impact": G17, "g18_mismatch": G18, "g19_violations": G19, "g20_schema": G20,
+    "g10_value_map": G10, "g14_unknown_tables": f"SELECT mapper, id, table_name AS place FROM ({B3}) WHERE table_name NOT IN (SELECT table_name FROM column_rec)", "g17_impact": G17, "g17_column_impact": G17C, "g14_static": G14, "g18_mismatch": G18, "g19_violations": G19, "g20_schema": G20,
     "g24_conversions": f"SELECT * FROM {values_sql('as_is_type string, to_be_type string, where_form string', PAIR_ROWS)}",
 }

