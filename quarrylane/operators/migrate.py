@@ -108,8 +108,9 @@ class Mapping:
         return out
 
 
-def rewrite(sql: str, m: Mapping) -> dict:
-    """G1 to G12 for one statement: to_be_sql, status, changes and warnings.
+def rewrite(sql: str, m: Mapping, shown: str | None = None) -> dict:
+    """G1 to G12 for one statement: to_be_sql, status, changes and warnings. `shown` is the text that is changed where sql is
+    read; both have the same places (see rewrite_mapper).
 
     Only tokens are replaced, so that layout, comments, literals and placeholders stay. Names are looked up as they were.
     A bare column counts if just one table of the statement maps it. Values in comparisons and IN lists are mapped;
@@ -213,7 +214,7 @@ def rewrite(sql: str, m: Mapping) -> dict:
             elif clause in ("INTO", "VALUES"):
                 warnings.append(f"{place}: inserted values must be converted")
         edits.append((tok.at, len(raw), text))
-    out = sql
+    out = sql if shown is None else shown
     for at, n, text in sorted(edits, key=lambda e: (e[0], e[1]), reverse=True):
         out = out[:at] + text + out[at + n :]
     return {
@@ -224,6 +225,54 @@ def rewrite(sql: str, m: Mapping) -> dict:
     }
 
 
+BODY = re.compile(r"(<(select|insert|update|delete|procedure|statement|sql)\b[^>]*>)(.*?)(</\2\s*>)", re.S | re.I)
+NOT_SQL = re.compile(r"<!--.*?-->|<!\[CDATA\[|\]\]>|</?[A-Za-z](?:[^<>\"']|\"[^\"]*\"|'[^']*')*>|&\w+;", re.S)
+
+
+def blanked(tag: re.Match) -> str:
+    """As many blanks as a tag has characters; <where> and <set> leave their keyword."""
+    blank = re.sub(r"[^\n]", " ", tag[0])
+    word = re.match(r"<(where|set)\b", tag[0], re.I)
+    return f" {word[1].upper()}" + blank[len(word[1]) + 1 :] if word else blank
+
+
+def rewrite_mapper(content: str, m: Mapping) -> tuple[str, int, list[str]]:
+    """A mapper file with its statements rewritten in place, the number of changes, and warnings.
+
+    Each statement's text is read with its tags, comments and entities blanked, so that places stay, and changed where it
+    stands: layout, tags and placeholders remain. Names are changed by the statement's own tables; a fragment that names no
+    table stays as it is.
+    """
+    changes, warnings = 0, []
+
+    def body(x: re.Match) -> str:
+        nonlocal changes
+        sql = NOT_SQL.sub(blanked, x[3])
+        got = rewrite(sql, m, shown=x[3])
+        changes += sum(c["n"] for c in got["changes"])
+        warnings.extend(w for w in got["warnings"] if w != "empty statement")
+        return x[1] + (x[3] if got["status"] == "PARSE_FAIL" else got["to_be_sql"]) + x[4]
+
+    return BODY.sub(body, content), changes, warnings
+
+
+def rewritten_files(files: DataFrame, mapping: DataFrame) -> DataFrame:
+    """Path, content, n_changes, warnings of mapper files (path, content). The mapping must be a schema's: of up to
+    MAPPING_ROWS rows it goes to all executors; a larger one is cut to the tables that the files name first."""
+    if mapping.limit(MAPPING_ROWS + 1).count() > MAPPING_ROWS:
+        words = files.select(F.explode(F.array_distinct(F.regexp_extract_all(F.upper("content"), F.lit(r"(\w+)"), F.lit(1)))).alias("as_is_table")).distinct()
+        mapping = mapping.join(words, "as_is_table", "left_semi")
+    shared = files.sparkSession.sparkContext.broadcast([r.asDict() for r in mapping.collect()])
+
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        m = Mapping.of(shared.value)
+        for b in batches:
+            got = [rewrite_mapper(c, m) if c else (c, 0, []) for c in b["content"]]
+            yield pd.DataFrame({"path": b["path"], "content": [g[0] for g in got], "n_changes": [g[1] for g in got], "warnings": [g[2] for g in got]})
+
+    return files.select("path", "content").mapInPandas(work, "path string, content string, n_changes bigint, warnings array<string>")
+
+
 def literals_beside(r: sqltext.Reader, i: int) -> list[int]:
     """The string literals that the column at i is compared with by =, <> or IN."""
     t = r.t

@@ -365,6 +365,26 @@ def test_rewrite(sql, want, status):
     assert (got["to_be_sql"], got["status"]) == (want, status)
 
 
+XML = """<mapper namespace="n"><!-- CUST -->
+  <select id="a" parameterType="CUST">SELECT c.CUST_NM, c.REG_DT FROM CUST c
+    <where><if test="CUST_NM != null">AND c.CUST_NM = #{CUST_NM}</if> AND c.USE_YN &lt;&gt; 'Y' <![CDATA[ AND c.REG_DT < 5 ]]></where></select>
+  <update id="b">UPDATE CUST <set><if test="x">CUST_NM = #{x},</if></set></update>
+  <delete id="c">DELETE FROM ELSE_T WHERE CUST_NM = 1</delete><select id="d"></select></mapper>"""
+
+
+def test_mapper_files_are_rewritten_in_place(spark):
+    want = (
+        XML.replace("SELECT c.CUST_NM, c.REG_DT FROM CUST c", "SELECT c.CUST_NAME, R(c.REG_DATE) FROM CUSTOMER c").replace("AND c.CUST_NM = #", "AND c.CUST_NAME = #").replace("c.USE_YN", "c.USE_FLAG")
+        .replace("AND c.REG_DT <", "AND C(c.REG_DATE) <").replace("UPDATE CUST <", "UPDATE CUSTOMER <").replace(">CUST_NM = #{x}", ">CUST_NAME = #{x}")
+    )
+    got, n, _ = migrate.rewrite_mapper(XML, mapping())
+    assert got == want and n > 6
+    m = frame(spark, migrate.MAPPING, [("CUST", "CUST_NM", None, "CUSTOMER", "CUST_NAME", None)])
+    m = migrate.mapping_kind(migrate.with_conversions(migrate.flat_mapping(m)).withColumn("value_map", F.lit(None).cast("map<string,string>")))
+    out = {r["path"]: r for r in migrate.rewritten_files(frame(spark, "path string, content string", [("a", XML), ("b", None), ("c", "")]), m).collect()}
+    assert "SELECT c.CUST_NAME, c.REG_DT FROM CUSTOMER c" in out["a"]["content"] and out["b"]["content"] is None and out["c"]["n_changes"] == 0
+
+
 def test_both_ways_to_rewrite_agree(spark):
     m = frame(spark, migrate.MAPPING, [("CUST", "CUST_NM", None, "CUSTOMER", "CUST_NAME", None), ("CUST", "REG_DT", "VARCHAR2(8)", "CUSTOMER", "REG_DATE", "DATE")])
     m = migrate.mapping_kind(migrate.with_conversions(migrate.flat_mapping(m)).withColumn("value_map", F.lit(None).cast("map<string,string>")))
