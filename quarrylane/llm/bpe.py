@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 # Fixed value: the public pattern by which byte_bpe_50k splits text before merging.
-PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Pieces of up to so many bytes are merged in matrices; longer ones in a row of their own.
 LONGEST = 256
 #: Cells of a matrix, at most.
