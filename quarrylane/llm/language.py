@@ -122,11 +122,16 @@ class Model:
         self.weights, self.bias, self.temperature = weights, bias, temperature
 
     def log_probabilities(self, texts: list[str]) -> np.ndarray:
-        z = (Features(texts).scores(self.weights) + self.bias) / self.temperature
+        z = (scored(texts, self.weights) + self.bias) / self.temperature
         z -= z.max(1, keepdims=True, initial=-np.inf) if len(z) else 0
         return z - np.log(np.exp(z).sum(1, keepdims=True))
 
 
+def scored(texts: list[str], weights: np.ndarray, some: int = 1024) -> np.ndarray:
+    """Features.scores of many texts, some at a time, which bounds the memory."""
+    return np.vstack([Features(texts[at : at + some]).scores(weights) for at in range(0, len(texts), some)] or [np.zeros((0, weights.shape[1]))])
+
+
 def softmax(z: np.ndarray) -> np.ndarray:
     e = np.exp(z - z.max(-1, keepdims=True))
     return e / e.sum(-1, keepdims=True)
@@ -136,10 +141,12 @@ def fit_ftrl(texts: list[str], y: np.ndarray, alpha: float = 0.012, beta: float
     """Weights (scaled by IDF) and bias, by the follow-the-regularised-leader proximal rule with elastic net, a few
     sentences at a time."""
     features, n, k = Features(texts), 1 << BITS, len(LANGS)
-    rows = [np.unique(features.one(i), return_counts=True) for i in range(len(texts))]
+    rows = [tuple(a.astype(np.int32) for a in np.unique(features.one(i), return_counts=True)) for i in range(len(texts))]
+    lengths = features.lengths
+    del features
     df = np.bincount(np.concatenate([f for f, _ in rows]), minlength=n)
     idf = np.log((1 + len(texts)) / (1 + df)) + 1
-    values = [scale * c * idf[f] / (features.lengths[i] * ORDER) for i, (f, c) in enumerate(rows)]
+    values = [scale * c * idf[f] / (lengths[i] * ORDER) for i, (f, c) in enumerate(rows)]
     z, g2, bias = np.zeros((n, k)), np.zeros((n, k)), np.zeros(k)
 
     def weights(z: np.ndarray, g2: np.ndarray) -> np.ndarray:
@@ -168,7 +175,7 @@ def fit_ftrl(texts: list[str], y: np.ndarray, alpha: float = 0.012, beta: float
 
 def calibrate(weights: np.ndarray, bias: np.ndarray, texts: list[str], y: np.ndarray) -> float:
     """The temperature under which held-out sentences are the likeliest."""
-    z = Features(texts).scores(weights) + bias
+    z = scored(texts, weights) + bias
     best = (np.inf, 1.0)
     for t in np.geomspace(0.2, 5, 33):
         p = softmax(z / t)
@@ -189,7 +196,7 @@ def train(labelled: list[tuple[str, str]]) -> Model:
         return Model(np.zeros((1 << BITS, len(LANGS)), np.float32), np.zeros(len(LANGS)), 1.0)
     y = np.array(y)
     weights, bias = fit_ftrl(texts, y, rounds=1)
-    p = softmax(Features(texts).scores(weights) + bias)
+    p = softmax(scored(texts, weights) + bias)
     sound = np.nonzero((p.argmax(1) == y) | (p.max(1) < 0.7))[0]
     held, fit = sound[::10], np.setdiff1d(sound, sound[::10])
     if not len(fit):
