@@ -38,7 +38,8 @@ class Items:
     """Evaluation items, ready to be looked for.
 
     A word is a name if at most a fiftieth of the items hold it (two items at least); numbers, codes and units have
-    placeholders of their own.
+    placeholders of their own. A window is kept as a template, or, if it has fewer than LITERALS literal words, as it
+    stands.
     """
 
     def __init__(self, items: list[tuple[int, str]]):
@@ -52,12 +53,12 @@ class Items:
         self.kinds: dict[str, tuple[int, int]] = {}
         exact, template = defaultdict(list), defaultdict(list)
         for k, (own, typed) in enumerate(zip(self.own, self.typed, strict=True)):
-            for at, h in enumerate(window_hashes(own, SEED)):
-                exact[int(h)].append((k, at))
             literal = np.convolve(typed > 3, np.ones(SEED), "valid") if len(typed) >= SEED else []
-            for at, h in enumerate(window_hashes(typed, SEED)):
+            for at, (h, t) in enumerate(zip(window_hashes(own, SEED), window_hashes(typed, SEED), strict=True)):
                 if literal[at] >= LITERALS:
-                    template[int(h)].append((k, at))
+                    template[int(t)].append((k, at))
+                else:
+                    exact[int(h)].append((k, at))
         self.exact, self.template = exact, template
         self.exact_keys = np.array(sorted(exact), np.int64)
         self.template_keys = np.array(sorted(template), np.int64)
@@ -135,17 +136,21 @@ def consistent(mine: np.ndarray, theirs: list[str], typed: np.ndarray) -> bool:
     return True
 
 
-def find(doc: list[str], own: np.ndarray, typed: np.ndarray, items: Items, hits: list[tuple[int, int, int, bool]]) -> list[tuple[int, str, int, int]]:
-    """Of a document's window hits (place, item, place in the item, exact): (item, kind, first word, words)."""
+def find(doc: list[str], own: np.ndarray, typed: np.ndarray, items: Items, hits: list[tuple[int, int, int]]) -> list[tuple[int, str, int, int]]:
+    """Of a document's window hits (place, item, place in the item): (item, kind, first word, words).
+
+    A diagonal whose windows all fill their slots inconsistently holds no verbatim passage, which has SEED words in a row
+    unchanged."""
     diagonals: dict[tuple[int, int], bool] = {}
-    for at, k, j, exact in hits:
-        diagonals[k, at - j] = diagonals.get((k, at - j), False) or exact
+    for at, k, j in hits:
+        if not diagonals.get((k, at - j)):
+            diagonals[k, at - j] = consistent(items.own[k][j : j + SEED], doc[at : at + SEED], items.typed[k][j : j + SEED])
     found: dict[tuple[int, str], tuple[int, int]] = {}
-    for (k, shift), exact in diagonals.items():
+    for (k, shift), sound in diagonals.items():
         low, high = max(0, -shift), min(len(items.own[k]), len(doc) - shift)
         mine, theirs = items.own[k][low:high], own[low + shift : high + shift]
         kind = "verbatim"
-        got = passage(mine == theirs) if exact else None
+        got = passage(mine == theirs) if sound else None
         if got is None:
             kind, got = "reparameterised", passage(items.typed[k][low:high] == typed[low + shift : high + shift])
             if got is not None:
@@ -173,8 +178,9 @@ def item_blocks(items: DataFrame, block: int) -> Iterator[list[tuple[int, str]]]
 def leaks(documents: DataFrame, items: DataFrame, block: int = 5000) -> DataFrame:
     """One row (doc_id, item_id, kind, first_word, n_words) for each document and item whose passages meet.
 
-    Numbers, codes, names and units become typed placeholders; windows of SEED words, as they stand and as templates,
-    are hashed and joined with those of the items; what meets is aligned word by word. kind is 'verbatim' where at least
+    Numbers, codes, names and units become typed placeholders; windows of SEED words are hashed and joined with those of
+    the items, as templates, or, those with fewer than LITERALS literal words, as they stand; what meets, and fills the
+    slots of a window consistently, is aligned word by word. kind is 'verbatim' where at least
     WORDS words in a row stand in the text with at most one in ONE_IN replaced, and 'reparameterised' where only the
     template does and each slot is filled consistently. first_word and n_words give the longest such passage, of
     equal ones the first.
@@ -212,11 +218,11 @@ def in_batch(keys: list[int], texts: list[str], items: Items) -> list[tuple]:
     kinds = np.array([x for d in docs for x in ([items.kind(w) for w in d] + gap)], np.int64).reshape(-1, 2)
     start = np.cumsum([0] + [len(d) + SEED for d in docs])
     hits = defaultdict(list)
-    for column, keyed, table, exact in ((0, items.exact_keys, items.exact, True), (1, items.template_keys, items.template, False)):
+    for column, keyed, table in ((0, items.exact_keys, items.exact), (1, items.template_keys, items.template)):
         h = window_hashes(kinds[:, column], SEED)
         for at in among(h, keyed):
             d = int(np.searchsorted(start, at, "right")) - 1
-            hits[d] += [(int(at - start[d]), k, j, exact) for k, j in table[int(h[at])]]
+            hits[d] += [(int(at - start[d]), k, j) for k, j in table[int(h[at])]]
     out = []
     for d, h in hits.items():
         part = kinds[start[d] : start[d] + len(docs[d])]

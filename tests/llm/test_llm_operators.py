@@ -283,6 +283,22 @@ def test_leaks_of_odd_rows(spark):
     assert leakage.leaks(docs, item.limit(0)).count() == 0 and leakage.leaks(docs.limit(0), item).count() == 0
 
 
+def test_verbatim_leaks_come_from_template_windows():
+    pad = [(i, ITEM.replace("Misewyn", f"K{chr(97 + i)}").replace("Pelesby", f"P{chr(97 + i)}")) for i in range(2, 5)]
+    items = leakage.Items([(1, ITEM), *pad, (9, "Alba Beno Caru Dilo Efta Gano Hemi Jolo Kuma Lino Mavo Nuri")])
+    # a window stands as it is only if it has too few literal words for a template
+    for table, few in ((items.exact, True), (items.template, False)):
+        assert table and all((np.sum(items.typed[k][j : j + leakage.SEED] > 3) < leakage.LITERALS) == few for hits in table.values() for k, j in hits)
+    # a replaced name fills its slot inconsistently; the passage is verbatim all the same
+    twice = "When the Orbu loader writes a batch the Orbu ledger keeps rows until confirms"
+    found = leakage.in_batch([1, 2, 3], [ITEM, "Alba Beno Caru Dilo Efta Gano Hemi Jolo Kuma Lino Mavo Nuri", twice], items)
+    assert {(d, i, kind) for d, i, kind, _, _ in found if i in (1, 9)} == {(1, 1, "verbatim"), (2, 9, "verbatim")}
+    again = leakage.Items([(1, twice)] + [(i, twice.replace("Orbu", f"N{chr(97 + i)}")) for i in range(2, 6)])
+    assert (1, 1, "verbatim", 0, 14) in leakage.in_batch([1], [twice.replace("Orbu", "Veno", 1)], again)
+    items.template_keys = items.template_keys[:0]
+    assert not [x for x in leakage.in_batch([1], [ITEM], items) if x[1] == 1]
+
+
 # ---- 8: languages
 
 
