@@ -49,9 +49,8 @@ class PairTable:
         self.rank = np.full(1 << bits, np.iinfo(np.int32).max, np.int32)
         self.merged = np.zeros(1 << bits, np.int32)
         key = a.astype(np.int64) << 17 | b.astype(np.int64)
-        slot, left, self.probes = self.home(key), np.arange(len(key)), 0
+        slot, left = self.home(key), np.arange(len(key))
         while len(left):
-            self.probes += 1
             free = self.keys[slot[left]] == -1
             # of those that want the same free slot, the last one written gets it
             self.keys[slot[left[free]]] = key[left[free]]
@@ -69,9 +68,8 @@ class PairTable:
         slot = self.home(key)
         out = slot.copy()
         todo = np.nonzero(self.keys[slot] != key)[0]
-        for _ in range(1, self.probes + 1):
-            if not len(todo):
-                break
+        # an absent pair walks to the end of its run, which may be longer than any present pair's way
+        while len(todo):
             empty = self.keys[out[todo]] == -1
             todo = todo[~empty]
             out[todo] = (out[todo] + 1) & self.mask

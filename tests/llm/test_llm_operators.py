@@ -223,6 +223,19 @@ def test_bpe_splits_like_the_public_pattern():
         assert regex.findall(bpe.PATTERN, t) == regex.findall(public.PATTERN, t)
 
 
+def test_absent_pairs_walk_to_the_end_of_their_run():
+    table = bpe.encoder(bpe.vocabulary_path()).table
+    size, held = table.mask + 1, table.keys != -1
+    run = np.zeros(size, int)
+    for k in range(2 * size - 1, -1, -1):
+        run[k % size] = run[(k + 1) % size] + 1 if held[k % size] else 0
+    # one absent pair for each home slot, those of the longest runs among them
+    a, b = (x.ravel() for x in np.meshgrid(np.arange(50_000, 50_200), np.arange(20_000)))
+    home = table.home(a.astype(np.int64) << 17 | b)
+    far = np.nonzero((run[home] > 9) & ~np.isin(a.astype(np.int64) << 17 | b, table.keys))[0]
+    assert len(far) and (table.keys[table.find(a[far], b[far])] == -1).all()
+
+
 # ---- 7: leakage
 
 
