@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import math
 import re
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -12,8 +14,8 @@ from pyspark.sql import functions as F
 
 #: Bins of the hashed pair counts; single characters have 2^16 of their own. This bounds the model's size.
 PAIRS, SINGLES = 1 << 18, 1 << 16
-#: Clean values, at most, on which the margin is validated.
-VALIDATE_ROWS = 2000
+#: The histogram of gains on which the margin is validated: nats of a bin, and the bin of all higher gains.
+STEP, TOP = 1 / 16, 1 << 14
 
 
 def _table(codec: str) -> dict[int, int]:
@@ -224,14 +226,18 @@ def train(values: DataFrame) -> Model:
     return Model(total[:SINGLES], total[SINGLES:])
 
 
-def validated_margin(model: Model, sample: list[str]) -> float:
-    """The margin between the gains of false readings of clean words and of true readings of the same words garbled."""
-    false, true = [], []
-    judge = Restorer(model, 0.0)
-    for w in sorted({w for v in sample for w in v.split(" ") if not ASCII.match(w)}):
+def word_gains(judge: Restorer, words: set[str]) -> Counter:
+    """How many gains fall into each bin, (true, bin): of false readings of clean words, and of true readings of the same
+    words garbled. A bin holds gains above the one before it; those below 0 are in the first."""
+    out: Counter = Counter()
+
+    def add(true: bool, gain: float) -> None:
+        out[true, min(max(math.ceil(gain / STEP), 0), TOP)] += 1
+
+    for w in words:
         best, gain = judge.best(w)
         if best is not None:
-            false.append(gain)
+            add(False, gain)
         for wrong, right in (("cp1252", "utf-8"), ("cp1252", "cp949")):
             try:
                 bad = "".join(map(SHOWN.__getitem__, w.encode(right)))
@@ -239,10 +245,49 @@ def validated_margin(model: Model, sample: list[str]) -> float:
                 continue
             best, gain = judge.best(bad)
             if best == w:
-                true.append(gain)
-    # the smallest margin of those that decide the fewest wrongly
-    tried = sorted({1.0, 2.0, *(g + 0.5 for g in false if g > 1)})
-    return min(tried, key=lambda m: (sum(g > m for g in false) + sum(g <= m for g in true), m))
+                add(True, gain)
+    return out
+
+
+def clean_words(values: Iterable[str]) -> set[str]:
+    """The words of clean values that aren't ASCII."""
+    return {w for v in values if clean(v) for w in v.split(" ") if not ASCII.match(w)}
+
+
+def best_margin(gains: dict[tuple[bool, int], int]) -> float:
+    """The smallest margin of those that decide the fewest gains wrongly."""
+    false, true = np.zeros(TOP + 1, np.int64), np.zeros(TOP + 1, np.int64)
+    for (is_true, at), n in gains.items():
+        (true if is_true else false)[at] += n
+    # margins lie on bins' ends, so that the counts are exact: what is in a bin up to m's doesn't exceed m
+    tried = sorted({1.0, 2.0, *(float(k * STEP + 0.5) for k in np.nonzero(false[:TOP])[0] if k * STEP > 1)})
+    up_to = lambda c, m: c[: min(int(m / STEP), TOP - 1) + 1].sum()
+    return min(tried, key=lambda m: (false.sum() - up_to(false, m) + up_to(true, m), m))
+
+
+def validated_margin(model: Model, sample: list[str]) -> float:
+    """The margin between the gains of false readings of clean words and of true readings of the same words garbled."""
+    return best_margin(word_gains(Restorer(model, 0.0), clean_words(sample)))
+
+
+def all_gains(values: DataFrame, model: Model) -> dict[tuple[bool, int], int]:
+    """word_gains over the distinct words of all clean values; at most two histograms come to the driver."""
+    shared = values.sparkSession.sparkContext.broadcast((model.singles, model.pairs))
+
+    def words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame({"word": sorted(clean_words(b["value"]))}, dtype=object)
+
+    def tally(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        judge = Restorer(Model(*shared.value), 0.0)
+        total: Counter = Counter()
+        for b in batches:
+            total += word_gains(judge, set(b["word"]))
+        yield pd.DataFrame([(*k, n) for k, n in total.items()], columns=["true", "at", "n"])
+
+    each = values.select("value").filter("value rlike '[^\\\\x00-\\\\x7f]'").distinct().mapInPandas(words, "word string").distinct()
+    rows = each.mapInPandas(tally, "true boolean, at int, n bigint").groupBy("true", "at").agg(F.sum("n").alias("n")).collect()
+    return {(r["true"], r["at"]): r["n"] for r in rows}
 
 
 def restore(values: DataFrame) -> DataFrame:
@@ -250,18 +295,17 @@ def restore(values: DataFrame) -> DataFrame:
 
     values: src_field, row_id, value (other columns are ignored). A character model is trained on all clean values;
     of each word, every chain of up to three wrong decodings is undone, and the likeliest reading counts if it beats
-    the word as it stands by a margin, which is validated on at most VALIDATE_ROWS clean values.
+    the word as it stands by a margin, which is validated on the distinct words of all clean values.
 
     restored is '' if any character is lost: replacement marks, or bytes that no chain explains. Null and blank
     values, and sound ones, give no row; repeated rows each give one, a null row_id stays null. Where no value is clean, all characters are
-    as likely, and the fewest characters win. Without rows the result is empty. Nothing but the model's bins is
-    shuffled.
+    as likely, and the fewest characters win. Without rows the result is empty. Nothing but the model's
+    bins, distinct values, their words and histograms is shuffled.
     """
     values = values.select("src_field", F.col("row_id").cast("string").alias("row_id"), "value").filter(F.length(F.trim("value")) > 0)
     sc = values.sparkSession.sparkContext
     model = train(values)
-    sample = [r[0] for r in values.select("value").filter("value rlike '[^\\\\x00-\\\\x7f]'").distinct().orderBy(F.xxhash64("value"), "value").limit(VALIDATE_ROWS).collect()]
-    margin = validated_margin(model, [v for v in sample if clean(v)])
+    margin = best_margin(all_gains(values, model))
     shared = sc.broadcast((model.singles, model.pairs, margin))
 
     def undo(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

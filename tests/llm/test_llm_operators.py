@@ -141,6 +141,20 @@ def test_held_out_accuracy_of_restoring(spark):
     assert np.mean(back) > 0.97 and np.mean([judge.value(v) is None for v in held]) > 0.97
 
 
+def test_margin_counts_all_clean_words(spark):
+    texts = [f"{chr(0xAC00 + i % 2000)}{chr(0xAC00 + 7 * i % 11000)}é 값" for i in range(2600)]
+    df = values(spark, [("f", i, t) for i, t in enumerate(texts)])
+    model = mojibake.train(df)
+    words = {w for t in texts if mojibake.clean(t) for w in t.split(" ")}
+    want = mojibake.word_gains(mojibake.Restorer(model, 0.0), words)
+    assert len(words) > 2000 and sum(n for (true, _), n in want.items() if true) > 2000
+    assert mojibake.all_gains(df, model) == want
+    # two false gains of 3 nats, true ones of 2 and 40
+    bins = lambda g: int(g / mojibake.STEP)
+    assert mojibake.best_margin({(False, bins(3)): 2, (True, bins(2)): 1, (True, bins(40)): 5}) == 3.5
+    assert mojibake.best_margin({}) == mojibake.best_margin({(True, mojibake.TOP): 9}) == 1.0
+
+
 # ---- 5: frequencies
 
 
