@@ -34,20 +34,24 @@ def words(text: str) -> list[str]:
     return NOT_WORD.sub("", text.lower()).split()
 
 
+def few_items(n: int) -> int:
+    """Of n items, how many may hold a word that is a name: a fiftieth, two at least."""
+    return max(2, n // 50)
+
+
 class Items:
     """Evaluation items, ready to be looked for.
 
-    A word is a name if at most a fiftieth of the items hold it (two items at least); numbers, codes and units have
+    literal: the words that aren't names, of all items, those of other blocks too; numbers, codes and units have
     placeholders of their own. A window is kept as a template, or, if it has fewer than LITERALS literal words, as it
     stands.
     """
 
-    def __init__(self, items: list[tuple[int, str]]):
+    def __init__(self, items: list[tuple[int, str]], literal: set[str] | None = None):
         self.items = [(i, words(t)) for i, t in items]
         held = Counter(w for _, ws in self.items for w in set(ws))
-        few = max(2, len(self.items) // 50)
-        self.literal = {w for w, n in held.items() if n > few and not CODE.search(w)}
-        self.ids = {w: k for k, w in enumerate(sorted(held), 4)}
+        self.literal = {w for w, n in held.items() if n > few_items(len(self.items)) and not CODE.search(w)} if literal is None else literal
+        self.ids = {w: k for k, w in enumerate(sorted(held.keys() | self.literal), 4)}
         self.own = [np.array([self.ids[w] for w in ws], np.int64) for _, ws in self.items]
         self.typed = [np.array([self.type_id(w) for w in ws], np.int64) for _, ws in self.items]
         self.kinds: dict[str, tuple[int, int]] = {}
@@ -164,6 +168,23 @@ def find(doc: list[str], own: np.ndarray, typed: np.ndarray, items: Items, hits:
     return [(items.items[k][0], kind, a, n) for (k, kind), (a, n) in found.items() if kind == "verbatim" or (k, "verbatim") not in found]
 
 
+def literal_words(items: DataFrame) -> set[str]:
+    """The words of more than few_items of all items, without numbers and codes: at most fifty times as many as an item
+    has on average, or, of up to 150 items, a third of all their words."""
+
+    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame([(w,) for t in b["text"] for w in {"", *words(t)} if not CODE.search(w)], columns=["word"])
+
+    # the row of no word counts the items
+    held = items.filter("text is not null and item_id is not null").select("text").mapInPandas(each, "word string").groupBy("word").agg(F.count("*").alias("n")).persist()
+    try:
+        total = held.filter("word = ''").collect()
+        return {r["word"] for r in held.filter(F.col("n") > few_items(total[0]["n"])).filter("word <> ''").collect()} if total else set()
+    finally:
+        held.unpersist()
+
+
 def item_blocks(items: DataFrame, block: int) -> Iterator[list[tuple[int, str]]]:
     rows: list[tuple[int, str]] = []
     for r in items.select("item_id", "text").filter("text is not null and item_id is not null").orderBy("item_id", "text").toLocalIterator():
@@ -187,17 +208,18 @@ def leaks(documents: DataFrame, items: DataFrame, block: int = 5000) -> DataFram
 
     Null, empty and too short texts and items, and items without an id, give no row; a null doc_id stays null. Repeated documents each give their rows; of items with the
     same id, each counts. Very long texts are read whole. Without items or documents the result is empty. The items
-    are handed to all executors in blocks of bounded size, each of which is looked for in all documents; nothing is
-    shuffled.
+    are handed to all executors in blocks of bounded size, each of which is looked for in all documents. Which words
+    are names is counted once over all items, so that blocks don't matter; nothing but these counts is shuffled.
     """
     documents = documents.select(F.col("doc_id").cast("string").alias("doc_id"), "text").filter("text is not null")
     schema = "doc_id string, item_id bigint, kind string, first_word int, n_words int"
     found: DataFrame | None = None
+    literal = literal_words(items)
     for rows in item_blocks(items, block):
-        shared = documents.sparkSession.sparkContext.broadcast(rows)
+        shared = documents.sparkSession.sparkContext.broadcast((rows, literal))
 
         def search(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            wanted = Items(shared.value)
+            wanted = Items(*shared.value)
             for b in batches:
                 out = []
                 for at in range(0, len(b), 256):

@@ -326,6 +326,15 @@ def test_verbatim_leaks_come_from_template_windows():
     assert not [x for x in leakage.in_batch([1], [ITEM], items) if x[1] == 1]
 
 
+def test_blocks_of_items_dont_matter(spark):
+    names = [f"{a}{b}" for a in "klmnprst" for b in ("alo", "eri", "omu")]
+    text = "When the {0} loader in plant Q{1} writes batch {1}77, the {2} ledger keeps {1}19 open rows until {3} confirms the checksum."
+    items = spark.createDataFrame([(i, text.format(names[i], i, names[i + 5], names[i + 10])) for i in range(8)] + [(20 + i, f"rows {n} loader") for i, n in enumerate(names)], "item_id bigint, text string")
+    docs = spark.createDataFrame([(1, text.format("Orbu", 91, "Veno", "Talo")), (2, text.format(names[2], 2, names[7], names[12]))], "doc_id bigint, text string")
+    one, many = (sorted(tuple(r) for r in leakage.leaks(docs, items, block=n).collect()) for n in (5000, 2))
+    assert one == many and {r[2] for r in one} == {"verbatim", "reparameterised"}
+
+
 # ---- 8: languages
 
 
