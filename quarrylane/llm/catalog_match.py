@@ -26,8 +26,8 @@ LEAD = re.compile(r"^(?:[^\w(\[<{「]|\d{1,3}[.)]\s)+")
 BRACKETED = re.compile(r"\([^()]*\)|\[[^\[\]]*\]|\{[^{}]*\}|<[^<>]*>|【[^】]*】|「[^」]*」")
 TAIL = re.compile(r"\s*(?:※.*|\s[:：].*|\s[-–—]\s*(?:v|ver|rev)\.?\s*\d[\d.]*|\s[-–—]\s.*)$", re.S | re.I)
 BARE = re.compile(r"[\W_]+")
-#: Longer values are remarks. How far from every entry what means none is. Values that a worker remembers.
-LONGEST, FAR, REMEMBERED = 400, 99.0, 200_000
+#: How far from every entry what means none is. Values that a worker remembers. Keys that a slip adds, at most.
+FAR, REMEMBERED, SLIP = 99.0, 200_000, 4
 #: What is found for a value that is written exactly as a name, or blank: no case.
 EXACT = (-1.0, -1)
 
@@ -103,6 +103,7 @@ class Catalog:
                         self.add(x + " " + y, i)
         self.by_gram: dict[str, list[str]] = defaultdict(list)
         self.grams = {k: grams(k) for k in self.alias}
+        self.longest = max(map(len, self.alias), default=0)
         for k, g in self.grams.items():
             for x in g:
                 self.by_gram[x].append(k)
@@ -136,6 +137,8 @@ class Catalog:
     def whole(self, text: str) -> int:
         """The entry whose mention is all of text."""
         k = keys(text)
+        if len(k) > self.longest:
+            return 0
         for start, end, i in self.mentions(k):
             if start == 0 and end == len(k):
                 return i
@@ -146,7 +149,7 @@ class Catalog:
         or one syllable or letter too many, too few or swapped. 0 if none is, or if text is too short to tell."""
         shown = BARE.sub("", text).lower()
         k = keys(shown)
-        if len(k) < 3:
+        if len(k) < 3 or len(k) > self.longest + SLIP:
             return FAR, 0
         own, hits = grams(k), defaultdict(int)
         for g in own:
@@ -154,7 +157,7 @@ class Catalog:
                 hits[x] += 1
         best: tuple[float, float, int] | None = None
         for x, n in hits.items():
-            if abs(len(x) - len(k)) > 4:
+            if abs(len(x) - len(k)) > SLIP:
                 continue
             score = 2 * n / (len(own) + len(self.grams[x]))
             if score < self.least:
@@ -182,7 +185,7 @@ class Catalog:
 
     def _find(self, value: str) -> tuple[float, int]:
         text = ordinary(value)
-        if "�" in text or len(text) > LONGEST:
+        if "�" in text:
             return FAR, 0
         bare = BRACKETED.sub(" ", text)
         if not bare.strip(" *·.-_"):
@@ -215,8 +218,8 @@ def map_to_catalog(values: DataFrame, catalog: DataFrame, block: int = 50_000) -
     similarity. std_id is 0 where no entry is meant.
 
     Null and blank values give no row. Repeated rows each give one, a null row_id stays null. An empty catalog gives 0
-    everywhere. Of two entries as near, the one of the more similar token set counts, then the smaller id. Values of
-    more than LONGEST characters are remarks. Nothing is shuffled. A catalog beyond one block is matched block by
+    everywhere. Of two entries as near, the one of the more similar token set counts, then the smaller id. Very long
+    values are read whole. Nothing is shuffled. A catalog beyond one block is matched block by
     block, and each row carries its nearest entry so far.
     """
     values = values.select("src_field", F.col("row_id").cast("string").alias("row_id"), "value").filter(F.length(F.trim("value")) > 0)

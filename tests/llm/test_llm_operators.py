@@ -68,6 +68,12 @@ def test_mentions_are_the_longest_without_overlap():
     assert [m[2] for m in names.mentions(catalog_match.keys("재고단가번호"))] == [3, 4]
 
 
+def test_long_notes_dont_hide_a_name():
+    names = catalog_match.Catalog([(i, n) for i, *n in CATALOG])
+    for note in (f"({'필수 ' * 300})", f" ※ {'비고 ' * 5000}", f" : {'x' * 50_000}"):
+        assert names.find("재고단가" + note) == (0.0, 3) and names.find("재고다가" + note)[1] == 3 and names.find("벼루" + note)[1] == 0
+
+
 # ---- 3: look-alikes
 
 
