@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import itertools
 import re
+from bisect import bisect_left, bisect_right
 from collections import defaultdict
 from collections.abc import Iterable, Iterator
 
@@ -26,8 +27,11 @@ LEAD = re.compile(r"^(?:[^\w(\[<{「]|\d{1,3}[.)]\s)+")
 BRACKETED = re.compile(r"\([^()]*\)|\[[^\[\]]*\]|\{[^{}]*\}|<[^<>]*>|【[^】]*】|「[^」]*」")
 TAIL = re.compile(r"\s*(?:※.*|\s[:：].*|\s[-–—]\s*(?:v|ver|rev)\.?\s*\d[\d.]*|\s[-–—]\s.*)$", re.S | re.I)
 BARE = re.compile(r"[\W_]+")
-#: How far from every entry what means none is. Values that a worker remembers. Keys that a slip adds, at most.
-FAR, REMEMBERED, SLIP = 99.0, 200_000, 4
+#: A note behind a name that TAIL leaves: after a colon without a blank before it.
+NOTE = re.compile(r"[\W_]*?[:：][\W_]*\w")
+#: How far from every entry what means none is, and a name beside a note that only the mentions tell. Values that a
+#: worker remembers. Keys that a slip adds, at most.
+FAR, NOTED, REMEMBERED, SLIP = 99.0, 2.0, 200_000, 4
 #: What is found for a value that is written exactly as a name, or blank: no case.
 EXACT = (-1.0, -1)
 
@@ -129,9 +133,11 @@ class Catalog:
             return []
         found = sorted(((end + 1 - n, end + 1, i) for end, (n, i) in self.automaton.iter(k)), key=lambda m: (m[0] - m[1], m[0]))
         taken: list[tuple[int, int, int]] = []
+        used = bytearray(len(k))
         for m in found:
-            if all(m[1] <= t[0] or m[0] >= t[1] for t in taken):
+            if 1 not in used[m[0] : m[1]]:
                 taken.append(m)
+                used[m[0] : m[1]] = b"\1" * (m[1] - m[0])
         return sorted(taken)
 
     def whole(self, text: str) -> int:
@@ -144,6 +150,21 @@ class Catalog:
                 return i
         return 0
 
+    def noted(self, text: str) -> int:
+        """The entry of the mention that is the only noun of text, if nothing but marks stands before it and a note behind
+        it; 0 otherwise."""
+        ends = list(itertools.accumulate((len(keys(c)) for c in text), initial=0))
+        # mentions that don't begin and end with a word are parts of other words
+        nouns = []
+        for start, end, i in self.mentions(keys(text)):
+            a, b = bisect_right(ends, start) - 1, bisect_left(ends, end)
+            if ends[a] == start and ends[b] == end and not text[:a][-1:].isalnum() and not text[b : b + 1].isalnum():
+                nouns.append((a, b, i))
+        if len(nouns) != 1:
+            return 0
+        a, b, i = nouns[0]
+        return i if not BARE.sub("", text[:a]) and NOTE.match(text[b:]) else 0
+
     def similar(self, text: str) -> tuple[float, int]:
         """The entry of the most similar token set among those a slip of the keyboard away: one edit of keys,
         or one syllable or letter too many, too few or swapped. 0 if none is, or if text is too short to tell."""
@@ -195,7 +216,10 @@ class Catalog:
         for x in (text, bare, lead, tail):
             if i := self.whole(x):
                 return 0.0, i
-        return self.similar(tail or lead)
+        got = self.similar(tail or lead)
+        if not got[1] and (":" in lead or "：" in lead) and (i := self.noted(lead)):
+            return NOTED, i
+        return got
 
 
 def catalog_blocks(catalog: DataFrame, block: int = 50_000) -> Iterator[list[tuple[int, tuple[str | None, ...]]]]:
@@ -215,7 +239,7 @@ def map_to_catalog(values: DataFrame, catalog: DataFrame, block: int = 50_000) -
     values: src_field, row_id, value (other columns are ignored); catalog: std_id, std_name, eng_name, abbr.
     An automaton over the names, their aliases and their keystrokes finds mentions; the longest that don't overlap
     count. A mention that is all of the value, but for notes and marks, decides; what remains goes to token-set
-    similarity. std_id is 0 where no entry is meant.
+    similarity, and then a mention beside a note after a colon decides, unless the rest holds another noun. std_id is 0 where no entry is meant.
 
     Null and blank values give no row. Repeated rows each give one, a null row_id stays null. An empty catalog gives 0
     everywhere. Of two entries as near, the one of the more similar token set counts, then the smaller id. Very long

@@ -74,6 +74,12 @@ def test_long_notes_dont_hide_a_name():
         assert names.find("재고단가" + note) == (0.0, 3) and names.find("재고다가" + note)[1] == 3 and names.find("벼루" + note)[1] == 0
 
 
+def test_mentions_decide_beside_notes():
+    names = catalog_match.Catalog([(i, n) for i, *n in CATALOG])
+    texts = {"재고단가: 10자리": 3, "재고 Unitprice：필수 항목": 3, "● INVT: see page": 1, "재고: 번호": 0, "벼루: 재고": 0, "재고 쪽: 물어볼 것": 0, "새재고: 필수": 0, "재고 번호: 필수": 0}
+    assert {t: names.find(t)[1] for t in texts} == texts
+
+
 # ---- 3: look-alikes
 
 
