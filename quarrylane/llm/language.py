@@ -35,8 +35,12 @@ CODE_BLOCK = re.compile(r"```.*?(?:```|\Z)|~~~.*?(?:~~~|\Z)|<(pre|code)\b[^>]*>.
 TAG = re.compile(r"</?\w+[^<>\n]*>")
 SQL_LINE = re.compile(r"^[ \t]*(?:SELECT|INSERT|UPDATE|DELETE|MERGE|FROM|WHERE|JOIN|LEFT|INNER|AND|OR|ORDER BY|GROUP BY|VALUES|SET|CREATE|ALTER|DROP)\b(?=.*(?:[=(_,*]|\bFROM\b|\bINTO\b)).*$", re.M)
 CODE_LINE = re.compile(r"^[ \t]*(?:[\w.<>\[\]]+[ \t]+)*[\w.]+[ \t]*(?:\([^()\n]*\)[ \t]*[{;]|=[^=\n]*;|\{)[ \t]*$|^[ \t]*[})\]]+[;,]?[ \t]*$|^[ \t]*(?://|#!|@\w|import |package |public |private |return |function |const |var |let ).*[;{)]$", re.M)
-#: Identifiers, codes, addresses and numbers; words in capitals are taken for abbreviations.
+#: Identifiers, codes, addresses and numbers; words in capitals are taken for abbreviations, but in
+#: sentences that are written wholly in capitals.
 IDENTIFIER = re.compile(r"https?://\S+|\S+@\S+\.\w+|[#$]\{[^}]*\}|\b[A-Za-z]*\d[A-Za-z0-9_-]*|\b\w*_\w*|\b[a-z]+(?:[A-Z][a-z0-9]*)+\w*|\b(?:[A-Z][a-z0-9]+){2,}\b|\b[A-Z]{2,}(?:-\w+)*\b|[A-Za-z]\w*(?:[./:]\w+)+", re.A)
+WORD = re.compile(r"(?<!\w)[^\W\d_]+(?!\w)")
+#: Three words in capitals in a row; in a sentence without lower-case letters they aren't abbreviations that stand alone.
+ROW = re.compile(r"(?<!\w)[A-ZÀ-ÖØ-Þ]{2,}[ \t]+[A-ZÀ-ÖØ-Þ]+[ \t]+[A-ZÀ-ÖØ-Þ]{2,}(?!\w)")
 SENTENCE = re.compile(r"(?<=[.!?…])[\"'”’)\]]*\s+|(?<=[。！？])|\s*\n+\s*|\s+/\s+|\s+\|\s+")
 LATIN_RUN = re.compile(r"(?:[A-Za-zÀ-ɏ'’,;:()\"“”-]+[ \t.]+){4,}[A-Za-zÀ-ɏ'’]+[.!?]?")
 LETTER = re.compile(r"[^\W\d_]")
@@ -54,11 +58,25 @@ def label_language(label: str | None) -> str | None:
     return CODE_OF.get(key) or CODE_OF.get(re.split(r"[-_ (]", key)[0], "?")
 
 
+def without_capitals(text: str) -> str:
+    """text, its sentences that are written wholly in capitals, but for identifiers, in lower case."""
+    if not ROW.search(text):
+        return text
+    out, at = [], 0
+    for start, end in [*(m.span() for m in SENTENCE.finditer(text)), (len(text), len(text))]:
+        s = text[at:start]
+        if ROW.search(s) and not EAST.search(s) and not any(map(str.islower, IDENTIFIER.sub(" ", s))):
+            s = WORD.sub(lambda m: m[0].lower() if m[0].isupper() else m[0], s)
+        out += [s, text[start:end]]
+        at = end
+    return "".join(out)
+
+
 def sentences(text: str) -> list[str]:
     """The sentences of text without code and identifiers; those that hold no letters are left out."""
     text = TAG.sub(" ", CODE_BLOCK.sub("\n", text))
     text = CODE_LINE.sub("", SQL_LINE.sub("", text))
-    text = IDENTIFIER.sub(" ", text)
+    text = IDENTIFIER.sub(" ", without_capitals(text))
     out = []
     for s in SENTENCE.split(text):
         if not s:

@@ -385,3 +385,11 @@ def test_relabelled(spark, model):
 @pytest.mark.parametrize(("label", "want"), [("KO", "ko"), ("kor", "ko"), ("en_GB", "en"), ("German", "de"), ("zh-Hans", "zh"), ("spa", "es"), ("jpn", "ja"), ("und", None), ("-", None), (" ", None), (None, None), ("unknown", None), ("fr", "?")])
 def test_labels(label, want):
     assert language.label_language(label) == want
+
+
+def test_sentences_in_capitals_are_read():
+    assert language.sentences("PICK THE BEST ANSWER. WHEN THE LOADER OF TB_ORDER STOPS, CALL getOrderId.") == ["pick the best answer.", "when the loader of   stops, call  ."]
+    assert language.sentences("BITTE NICHT LÖSCHEN!") == ["bitte nicht löschen!"]
+    # abbreviations that stand alone or in another sentence
+    assert language.sentences("API, DB, URL. HTTP API.") == [] and language.sentences("The HTTP API URL changed.") == ["The       changed."]
+    assert language.sentences("SELECT ORDER_ID FROM TB_ORDER WHERE ID = 1") == []
