@@ -25,6 +25,7 @@ def local_session(cores: str | int = "*", memory: str = "8g", name: str = "quarr
         .config("spark.driver.memory", memory)
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.ui.showConsoleProgress", "false")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .getOrCreate()
     )
     ship(spark)

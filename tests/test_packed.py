@@ -1,8 +1,10 @@
+import itertools
+import math
 import random
 
 import pytest
 
-from quarrylane.operators.packed import PackedField, Splitter, candidates, edge_weights, forward_backward, unpack, unquoted, viterbi
+from quarrylane.operators.packed import Base, Lattice, PackedField, Splitter, unpack, unquoted, valued
 
 SCHEMA = "src_field string, row_id bigint, cell string"
 
@@ -66,20 +68,44 @@ def test_lattice_against_brute_force(seed):
     import math
 
     rng = random.Random(seed)
-    n = rng.randint(1, 5)
+    n = rng.randint(1, 6)
     piece = Splitter().pieces(rng.choice("-+/").join("abcdefg"[:n]))[0]
-    cands = [(i, j, math.log(rng.random())) for i, j, _ in candidates(piece)]
-    edges = edge_weights(piece, cands, {d: rng.uniform(0.1, 0.9) for d in piece.between})
-    w = {(i, j): x for i, j, x in edges}
-    ways = []
+    base = Base(40.0, rng.uniform(1, 20), {c: math.log(rng.random()) for c in ["", *"abcdefg"]}, -5.0)
+    part = {d: rng.uniform(0.1, 0.9) for d in piece.between}
+    runs = [(i, j, rng.choice([0.0, rng.uniform(0, 9)])) for i in range(n) for j in range(i + 1, n + 1) if rng.random() < 0.4]
+    ways = Lattice(piece, base, part, runs)
+    counts = {(i, j): c for i, j, c in runs}
+
+    def weight(i, j):
+        new = base.alpha * math.exp(base.log(valued(piece, i, j)) + base.chars[""])
+        p = (counts.get((i, j), 0.0) + new) / (base.total + base.alpha)
+        for d in piece.between[i : j - 1]:
+            p *= 1 - part[d]
+        return p * (part[piece.between[j - 1]] if j < n else 1)
+
+    every = []
     for cuts in itertools.product([0, 1], repeat=n - 1):
         ends = [k + 1 for k, c in enumerate(cuts) if c] + [n]
         way = list(zip([0, *ends], ends, strict=False))
-        ways.append((sum(w[x] for x in way), way))
-    assert viterbi(n, edges) == max(ways)[1]
-    total = sum(math.exp(s) for s, _ in ways)
-    for x, p in forward_backward(n, edges).items():
-        assert p == pytest.approx(sum(math.exp(s) for s, way in ways if x in way) / total)
+        every.append((math.prod(weight(*x) for x in way), way))
+    total = sum(w for w, _ in every)
+    assert ways.best() == max(every)[1]
+    likely, parting = ways.expected()
+    for (i, j, _), p in zip(runs, likely, strict=True):
+        assert p == pytest.approx(sum(w for w, way in every if (i, j) in way) / total)
+    for k, p in enumerate(parting, 1):
+        assert p == pytest.approx(sum(w for w, way in every if any(j == k for _, j in way)) / total)
+
+
+def test_values_of_any_number_of_atoms(spark):
+    """A value of more atoms than are looked for at once stays whole where the column supports it, split otherwise."""
+    long = "bill of lading for goods in free transit zone"
+    names = ["red kite", "blue whale", "stone bridge"]
+    cells = [f"{n}/{long}" for n in names] + [f"{long}; {n}" for n in names] + [f'"{long}", {n}' for n in names] + ["/".join(names)] * 3
+    got = values(spark, cells)
+    assert got[:3] == [[n, long] for n in names] and got[3:6] == [[long, n] for n in names]
+    alone = values(spark, [" ".join(f"w{i}" for i in range(3000))])[0]
+    assert " ".join(alone) == " ".join(f"w{i}" for i in range(3000))
 
 
 def test_unquoted():
