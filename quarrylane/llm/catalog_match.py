@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import itertools
 import re
 from bisect import bisect_left, bisect_right
@@ -13,6 +14,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarrylane.session import cut
+
 from .glyphs import ordinary
 
 # The two-set Korean keyboard, in the order of Unicode's initial, medial and final letters.
@@ -29,11 +32,12 @@ TAIL = re.compile(r"\s*(?:※.*|\s[:：].*|\s[-–—]\s*(?:v|ver|rev)\.?\s*\d[\
 BARE = re.compile(r"[\W_]+")
 #: A note behind a name that TAIL leaves: after a colon without a blank before it.
 NOTE = re.compile(r"[\W_]*?[:：][\W_]*\w")
-#: How far from every entry what means none is, and a name beside a note that only the mentions tell. Values that a
-#: worker remembers. Keys that a slip adds, at most.
-FAR, NOTED, REMEMBERED, SLIP = 99.0, 2.0, 200_000, 4
+#: How far from every entry what means none is. Values that a worker remembers. Keys that a slip adds, at most.
+FAR, REMEMBERED, SLIP = 99.0, 200_000, 4
+#: The share of a value's keys, without notes, from which on a name beside other words is what the value means.
+COVER = 0.5
 #: What is found for a value that is written exactly as a name, or blank: no case.
-EXACT = (-1.0, -1)
+EXACT = -1
 
 
 def keys(text: str) -> str:
@@ -80,40 +84,80 @@ def grams(k: str) -> frozenset[str]:
     return frozenset(k[i : i + 2] for i in range(len(k) - 1))
 
 
-class Catalog:
-    """The names of a canonical list with their aliases, ready for look-ups.
+def shown(name: str) -> str:
+    """A name's letters and digits in their ordinary form."""
+    return BARE.sub("", ordinary(name)).lower()
 
-    entries: (id, names). An entry whose first name is put together from the first names of two others is also
-    known by every mixture of the two's names. Of equal names, the first entry's counts.
-    """
 
-    def __init__(self, entries: Iterable[tuple[int, tuple[str | None, ...]]], least: float = 0.5):
+class Value:
+    """A value read for look-ups: its ordinary form as it stands, without brackets, without what leads, without a note."""
+
+    def __init__(self, value: str):
+        self.text = ordinary(value)
+        bare = BRACKETED.sub(" ", self.text)
+        if not bare.strip(" *·.-_"):
+            bare = self.text
+        lead = LEAD.sub("", bare)
+        tail = TAIL.sub("", lead)
+        self.core = tail or lead
+        self.forms = list(dict.fromkeys((self.text, bare, lead, tail)))
+        self.readable = "�" not in self.text
+
+    def entry(self, mentions: list[Mention]) -> int:
+        """The entry of the one longest mention that doesn't overlap another, if all else in the value is notes and marks."""
+        for at, form in enumerate(self.forms):
+            got = longest(m for m in mentions if m[0] == at)
+            if len(got) == 1:
+                _, a, b, _, i = got[0]
+                before, after = LEAD.sub("", BRACKETED.sub(" ", form[:a])), BRACKETED.sub(" ", form[b:])
+                if not BARE.sub("", before) and (not BARE.sub("", after) or TAIL.match(after) or NOTE.match(after)):
+                    return i
+        return 0
+
+    def main(self, mentions: list[Mention]) -> int:
+        """The entry of the one longest mention that doesn't overlap another, if it makes up COVER of the value's keys, and no
+        colon tells what other words are about."""
+        if ":" in self.core or "：" in self.core:
+            return 0
+        at = self.forms.index(self.core)
+        got = longest(m for m in mentions if m[0] == at)
+        return got[0][4] if len(got) == 1 and got[0][3] >= COVER * len(keys(self.core)) else 0
+
+
+#: Form, start, end, keys, entry.
+Mention = tuple[int, int, int, int, int]
+
+
+def longest(mentions: Iterable[Mention]) -> list[Mention]:
+    """Of mentions in one form the longest that don't overlap, the first of equally long ones before the others."""
+    taken: list[Mention] = []
+    for m in sorted(mentions, key=lambda m: (-m[3], m[1], m[2], m[4])):
+        if all(m[2] <= t[1] or t[2] <= m[1] for t in taken):
+            taken.append(m)
+    return sorted(taken)
+
+
+class Catalog:
+    """The entries of a block of a canonical list, ready for look-ups: (id, names as written, aliases' keys, aliases as
+    shown), see aliases()."""
+
+    def __init__(self, entries: Iterable[tuple[int, list[str], list[str], list[str]]], least: float = 0.5):
         import ahocorasick
 
-        entries = [(i, [x for x in names if x and x.strip()]) for i, names in entries]
-        self.exact = {x for _, names in entries for x in names}
+        self.exact: set[str] = set()
         self.least = least
         self.alias: dict[str, int] = {}
-        self.plain: dict[str, int] = {}
-        parts = {BARE.sub("", names[0]): names for _, names in entries if names}
-        for i, names in entries:
-            for x in names:
-                self.add(x, i)
-        for i, names in entries:
-            whole = BARE.sub("", names[0]) if names else ""
-            for at in range(1, len(whole)):
-                if (a := parts.get(whole[:at])) and (b := parts.get(whole[at:])):
-                    for x, y in itertools.product(a, b):
-                        self.add(x + " " + y, i)
+        self.shown: dict[int, list[str]] = {}
+        for i, names, own, seen in entries:
+            self.exact.update(names)
+            self.alias.update(dict.fromkeys(own, i))
+            self.shown[i] = seen
         self.by_gram: dict[str, list[str]] = defaultdict(list)
         self.grams = {k: grams(k) for k in self.alias}
         self.longest = max(map(len, self.alias), default=0)
         for k, g in self.grams.items():
             for x in g:
                 self.by_gram[x].append(k)
-        self.shown = defaultdict(list)
-        for k, i in self.plain.items():
-            self.shown[i].append(k)
         self.automaton = ahocorasick.Automaton()
         for k, i in self.alias.items():
             self.automaton.add_word(k, (len(k), i))
@@ -121,62 +165,36 @@ class Catalog:
             self.automaton.make_automaton()
         self.known: dict[str, int] = {}
 
-    def add(self, name: str, i: int) -> None:
-        shown = BARE.sub("", ordinary(name)).lower()
-        if k := keys(shown):
-            self.alias.setdefault(k, i)
-            self.plain.setdefault(shown, i)
-
-    def mentions(self, k: str) -> list[tuple[int, int, int]]:
-        """The longest mentions that don't overlap, the longer first choice: (start, end, id)."""
-        if not self.alias:
-            return []
-        found = sorted(((end + 1 - n, end + 1, i) for end, (n, i) in self.automaton.iter(k)), key=lambda m: (m[0] - m[1], m[0]))
-        taken: list[tuple[int, int, int]] = []
-        used = bytearray(len(k))
-        for m in found:
-            if 1 not in used[m[0] : m[1]]:
-                taken.append(m)
-                used[m[0] : m[1]] = b"\1" * (m[1] - m[0])
-        return sorted(taken)
-
-    def whole(self, text: str) -> int:
-        """The entry whose mention is all of text."""
-        k = keys(text)
-        if len(k) > self.longest:
-            return 0
-        for start, end, i in self.mentions(k):
-            if start == 0 and end == len(k):
-                return i
-        return 0
-
-    def noted(self, text: str) -> int:
-        """The entry of the mention that is the only noun of text, if nothing but marks stands before it and a note behind
-        it; 0 otherwise."""
-        ends = list(itertools.accumulate((len(keys(c)) for c in text), initial=0))
-        # mentions that don't begin and end with a word are parts of other words
-        nouns = []
-        for start, end, i in self.mentions(keys(text)):
-            a, b = bisect_right(ends, start) - 1, bisect_left(ends, end)
-            if ends[a] == start and ends[b] == end and not text[:a][-1:].isalnum() and not text[b : b + 1].isalnum():
-                nouns.append((a, b, i))
-        if len(nouns) != 1:
-            return 0
-        a, b, i = nouns[0]
-        return i if not BARE.sub("", text[:a]) and NOTE.match(text[b:]) else 0
-
-    def similar(self, text: str) -> tuple[float, int]:
+    def mentions(self, value: Value) -> list[Mention]:
+        """All mentions of entries in value that begin and end with a word; others are parts of other words."""
+        out: list[Mention] = []
+        if not self.alias or not value.readable:
+            return out
+        for at, form in enumerate(value.forms):
+            found = list(self.automaton.iter(keys(form)))
+            if not found:
+                continue
+            ends = list(itertools.accumulate((len(keys(c)) for c in form), initial=0))
+            for end, (n, i) in found:
+                start, end = end + 1 - n, end + 1
+                a, b = bisect_right(ends, start) - 1, bisect_left(ends, end)
+                if ends[a] == start and ends[b] == end and not form[:a][-1:].isalnum() and not form[b : b + 1].isalnum():
+                    out.append((at, a, b, n, i))
+        return out
+
+    def similar(self, text: str) -> tuple[float, float, int]:
         """The entry of the most similar token set among those a slip of the keyboard away: one edit of keys,
-        or one syllable or letter too many, too few or swapped. 0 if none is, or if text is too short to tell."""
-        shown = BARE.sub("", text).lower()
-        k = keys(shown)
+        or one syllable or letter too many, too few or swapped: how far it is, its similarity with the sign changed, and
+        its id. FAR if none is, or if text is too short to tell."""
+        seen = BARE.sub("", text).lower()
+        k = keys(seen)
+        best = (FAR, 0.0, 0)
         if len(k) < 3 or len(k) > self.longest + SLIP:
-            return FAR, 0
+            return best
         own, hits = grams(k), defaultdict(int)
         for g in own:
             for x in self.by_gram.get(g, ()):
                 hits[x] += 1
-        best: tuple[float, float, int] | None = None
         for x, n in hits.items():
             if abs(len(x) - len(k)) > SLIP:
                 continue
@@ -184,52 +202,98 @@ class Catalog:
             if score < self.least:
                 continue
             i, cost = self.alias[x], near(k, x, 1)
-            if cost > 1 and len(shown) >= 3:
-                cost = 1.5 if any(self._syllable(shown, y) for y in self.shown[i]) else 9
-            if cost <= 1.5 and (best is None or (cost, -score, i) < best):
+            if cost > 1 and len(seen) >= 3:
+                cost = 1.5 if any(self._syllable(seen, y) for y in self.shown[i]) else 9
+            if cost <= 1.5 and (cost, -score, i) < best:
                 best = (cost, -score, i)
-        return (best[0], best[2]) if best else (FAR, 0)
+        return best
 
     @staticmethod
     def _syllable(a: str, b: str) -> bool:
         """Whether a has one character of b too many, too few, or two neighbours swapped."""
         return len(b) >= 3 and (near(a, b, 1) <= 1 and (len(a) != len(b) or sorted(a) == sorted(b)))
 
-    def find(self, value: str) -> tuple[float, int]:
-        """How far value is from the entry it means, and that entry's id; (FAR, 0) if it means none."""
+    def find(self, value: str) -> int:
+        """The id of the entry that value means, 0 for none, EXACT if it is written as a name; where the block is all of
+        the list."""
         if (known := self.known.get(value)) is not None:
             return known
-        got = self._find(value)
+        got = EXACT
+        if value not in self.exact and value.strip():
+            read = Value(value)
+            mentions = self.mentions(read)
+            got = read.entry(mentions) or (self.similar(read.core)[2] if read.readable else 0) or read.main(mentions)
         if len(self.known) < REMEMBERED:
             self.known[value] = got
         return got
 
-    def _find(self, value: str) -> tuple[float, int]:
-        text = ordinary(value)
-        if "�" in text:
-            return FAR, 0
-        bare = BRACKETED.sub(" ", text)
-        if not bare.strip(" *·.-_"):
-            bare = text
-        lead = LEAD.sub("", bare)
-        tail = TAIL.sub("", lead)
-        for x in (text, bare, lead, tail):
-            if i := self.whole(x):
-                return 0.0, i
-        got = self.similar(tail or lead)
-        if not got[1] and (":" in lead or "：" in lead) and (i := self.noted(lead)):
-            return NOTED, i
-        return got
 
+def aliases(catalog: DataFrame) -> DataFrame:
+    """std_id, names, own, seen of each entry: its names as written, the keys of those names and mixtures that are its
+    own, and the same as shown.
 
-def catalog_blocks(catalog: DataFrame, block: int = 50_000) -> Iterator[list[tuple[int, tuple[str | None, ...]]]]:
-    """The canonical list in blocks of bounded size, by id; each block is matched against all rows."""
-    rows: list[tuple[int, tuple[str | None, ...]]] = []
-    for r in catalog.orderBy("std_id").toLocalIterator():
-        rows.append((r["std_id"], (r["std_name"], r["eng_name"], r["abbr"])))
-        if len(rows) == block:
+    An entry whose first name ends or begins with the first name of another is also known by the mixtures of their
+    names: what is left of its own names there, or the names of the entry that is called so, beside each name of the other.
+    Of equal keys, names go before mixtures, then the smaller id counts. Everything is counted over the whole list.
+    """
+    names = [F.col(c) for c in ("std_name", "eng_name", "abbr")]
+    named = catalog.select("std_id", F.array(*names).alias("names"))
+
+    def bared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            bare = [BARE.sub("", n[0]) if n[0] else "" for n in b["names"]]
+            yield b.assign(names=[list(n) for n in b["names"]], bare=bare)
+
+    entries = named.mapInPandas(bared, "std_id bigint, names array<string>, bare string")
+    words = entries.filter("bare <> ''").groupBy("bare").agg(F.min_by("names", "std_id").alias("names"))
+    cuts = entries.filter("length(bare) > 1").select("std_id", "names", "bare", F.explode(F.sequence(F.lit(1), F.length("bare") - 1)).alias("at"))
+    cuts = cuts.withColumn("head", F.expr("left(bare, at)")).withColumn("tail", F.expr("substr(bare, at + 1)"))
+    heads, tails = (words.select(F.col("bare").alias(k), F.col("names").alias(k + "_names")) for k in ("head", "tail"))
+    joined = cuts.join(heads, "head", "left").join(tails, "tail", "left").filter("head_names is not null or tail_names is not null").select("std_id", "names", "head", "tail", "head_names", "tail_names")
+
+    def mixed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = []
+            for i, own, head, tail, left, right in b.itertuples(index=False):
+                left = rest(own, right, head, True) if left is None else left
+                right = rest(own, left, tail, False) if right is None else right
+                for x, y in itertools.product(left, right):
+                    if x and y and (k := keys(s := shown(x + " " + y))):
+                        out.append((i, 1, s, k))
+            yield pd.DataFrame(out, columns=["std_id", "rank", "shown", "key"])
+
+    def plain(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = [(i, 0, s, k) for i, own in zip(b["std_id"], b["names"], strict=True) for x in own if x and x.strip() and (k := keys(s := shown(x)))]
+            yield pd.DataFrame(out, columns=["std_id", "rank", "shown", "key"])
+
+    schema = "std_id bigint, rank int, shown string, key string"
+    every = entries.select("std_id", "names").mapInPandas(plain, schema).unionByName(joined.mapInPandas(mixed, schema))
+    first = F.min(F.struct("rank", "std_id"))["std_id"].alias("std_id")
+    own = every.groupBy("key").agg(first).groupBy("std_id").agg(F.array_sort(F.collect_list("key")).alias("own"))
+    seen = every.groupBy("shown").agg(first).groupBy("std_id").agg(F.array_sort(F.collect_list("shown")).alias("seen"))
+    raw = named.select("std_id", F.explode("names").alias("name")).filter("trim(name) <> ''").groupBy("std_id").agg(F.array_sort(F.collect_set("name")).alias("names"))
+    return raw.join(own, "std_id", "left").join(seen, "std_id", "left")
+
+
+def rest(own: list[str | None], other: list[str | None], first: str, before: bool) -> list[str]:
+    """What is left of an entry's names, each without the other's name at its end, or at its beginning; and first."""
+    out = {first}
+    for x, y in zip(own, other, strict=True):
+        if x and y and len(x) > len(y) and (x.lower().endswith(y.lower()) if before else x.lower().startswith(y.lower())):
+            out.add((x[: -len(y)] if before else x[len(y) :]).strip(" _-"))
+    return sorted(o for o in out if o)
+
+
+def catalog_blocks(catalog: DataFrame, block: int = 50_000) -> Iterator[list[tuple]]:
+    """The entries with their aliases in blocks of about as many aliases, by id."""
+    rows, size = [], 0
+    for r in aliases(catalog).orderBy("std_id").toLocalIterator():
+        rows.append((r["std_id"], r["names"], r["own"] or [], r["seen"] or []))
+        size += len(r["own"] or [])
+        if size >= block:
             yield rows
-            rows = []
+            rows, size = [], 0
     yield rows
 
 
@@ -237,45 +301,77 @@ def map_to_catalog(values: DataFrame, catalog: DataFrame, block: int = 50_000) -
     """One row (src_field, row_id, std_id) for each value that isn't written as a name of the catalog.
 
     values: src_field, row_id, value (other columns are ignored); catalog: std_id, std_name, eng_name, abbr.
-    An automaton over the names, their aliases and their keystrokes finds mentions; the longest that don't overlap
-    count. A mention that is all of the value, but for notes and marks, decides; what remains goes to token-set
-    similarity, and then a mention beside a note after a colon decides, unless the rest holds another noun. std_id is 0 where no entry is meant.
+    An automaton over the keystrokes of names and aliases finds mentions; the longest that don't overlap count. The one
+    mention of a value decides where all else is notes and marks; what remains goes to token-set similarity, among
+    entries a slip of the keyboard away; then the one mention decides that makes up COVER of the value. std_id is 0 where
+    no entry is meant.
 
     Null and blank values give no row. Repeated rows each give one, a null row_id stays null. An empty catalog gives 0
     everywhere. Of two entries as near, the one of the more similar token set counts, then the smaller id. Very long
-    values are read whole. Nothing is shuffled. A catalog beyond one block is matched block by
-    block, and each row carries its nearest entry so far.
+    values are read whole. Of the values nothing is shuffled. A catalog beyond one block of aliases is matched block by
+    block: rows carry the mentions and the most similar entry so far, written to the shared folder after each, and are
+    decided at the end, so that blocks don't matter.
     """
     values = values.select("src_field", F.col("row_id").cast("string").alias("row_id"), "value").filter(F.length(F.trim("value")) > 0)
-    spark = values.sparkSession
-    found = values.withColumn("cost", F.lit(FAR)).withColumn("std_id", F.lit(0).cast("bigint"))
-    for rows in catalog_blocks(catalog, block):
-        shared = spark.sparkContext.broadcast(rows)
-
-        def match(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
+    sc = values.sparkSession.sparkContext
+    blocks = catalog_blocks(catalog, block)
+    first, more = next(blocks), next(blocks, None)
+    base = "src_field string, row_id string"
+    if not more:
+        shared = sc.broadcast(first)
+
+        def match(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             names = known_catalog(shared.value)
             for b in batches:
-                got = [EXACT if v in names.exact or not v.strip() else names.find(v) for v in b["value"]]
-                best = [nearer(old, new) for old, new in zip(zip(b["cost"], b["std_id"], strict=True), got, strict=True)]
-                yield b.assign(cost=[x[0] for x in best], std_id=np.array([x[1] for x in best], np.int64))
+                got = {v: names.find(v) for v in b["value"].unique()}
+                yield b[["src_field", "row_id"]].assign(std_id=b["value"].map(got).astype("int64"))
 
-        found = found.mapInPandas(match, "src_field string, row_id string, value string, cost double, std_id bigint")
+        found = values.mapInPandas(match, base + ", std_id bigint")
+    else:
+        found = _matched_by_blocks(values, [sc.broadcast(rows) for rows in itertools.chain((first, more), blocks)])
     return found.filter("std_id >= 0").select("src_field", F.col("row_id").cast("bigint").alias("row_id"), "std_id")
 
 
-def nearer(a: tuple[float, int], b: tuple[float, int]) -> tuple[float, int]:
-    """Of two findings for one value, that of an exact writing, else the nearer one, else that of the smaller id."""
-    if a[1] < 0 or b[1] < 0:
-        return EXACT
-    return min((x for x in (a, b) if x[1]), default=a)
+def _matched_by_blocks(values: DataFrame, shared: list) -> DataFrame:
+    """src_field, row_id, std_id, as Catalog.find would give with all blocks in one."""
+    state = "value string, mentions array<array<bigint>>, exact boolean, cost double, score double, std_id bigint"
+    start = values.withColumn("mentions", F.array().cast("array<array<bigint>>")).withColumn("exact", F.lit(False)).withColumn("cost", F.lit(FAR)).withColumn("score", F.lit(0.0))
+    found = start.withColumn("std_id", F.lit(0).cast("bigint"))
+
+    def look(rows, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = known_catalog(rows.value)
+        for b in batches:
+            got = {}
+            for v in b["value"].unique():
+                read = Value(v)
+                got[v] = (names.mentions(read), v in names.exact or not v.strip(), names.similar(read.core) if read.readable else (FAR, 0.0, 0))
+            new = [got[v] for v in b["value"]]
+            best = [min(old, g[2]) if g[2][2] else old for old, g in zip(zip(b["cost"], b["score"], b["std_id"], strict=True), new, strict=True)]
+            yield b.assign(
+                mentions=[[list(map(int, m)) for m in old] + [list(m) for m in g[0]] for old, g in zip(b["mentions"], new, strict=True)],
+                exact=[bool(x or g[1]) for x, g in zip(b["exact"], new, strict=True)], cost=[x[0] for x in best], score=[x[1] for x in best], std_id=[int(x[2]) for x in best],
+            )
+
+    for rows in shared:
+        found = cut(found.mapInPandas(functools.partial(look, rows), "src_field string, row_id string, " + state))
+
+    def decide(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = []
+            for v, mentions, exact, i in zip(b["value"], b["mentions"], b["exact"], b["std_id"], strict=True):
+                read, own = Value(v), [tuple(map(int, m)) for m in mentions]
+                out.append(EXACT if exact else read.entry(own) or i or read.main(own))
+            yield b[["src_field", "row_id"]].assign(std_id=np.array(out, np.int64))
+
+    return found.mapInPandas(decide, "src_field string, row_id string, std_id bigint")
 
 
 _CATALOGS: dict[int, Catalog] = {}
 
 
-def known_catalog(rows: list[tuple[int, tuple[str | None, ...]]]) -> Catalog:
+def known_catalog(rows: list[tuple]) -> Catalog:
     """A worker's catalog of these rows; the last one is kept."""
-    key = hash(tuple(rows))
+    key = hash(repr(rows))
     if key not in _CATALOGS:
         _CATALOGS.clear()
         _CATALOGS[key] = Catalog(rows)

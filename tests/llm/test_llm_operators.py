@@ -29,6 +29,12 @@ def catalog(spark, rows=CATALOG):
     return spark.createDataFrame(rows, "std_id bigint, std_name string, eng_name string, abbr string")
 
 
+@pytest.fixture(scope="module")
+def names(spark):
+    (rows,) = catalog_match.catalog_blocks(catalog(spark))
+    return catalog_match.Catalog(rows)
+
+
 def test_catalog_finds_what_is_meant(spark):
     texts = {
         "재고단가": None, "INVT_UPR": None, "재고 단가": 3, "invt-upr": 3, "InventoryUnitprice": 3, "재고 Unitprice (필수)": 3, "● 재고단가*": 3, "5. 재고단가": 3, "재고단가 - v3": 3, "재고단가 : 10자리": 3,
@@ -40,11 +46,10 @@ def test_catalog_finds_what_is_meant(spark):
 
 
 def test_catalog_blocks_ties_and_empty_tables(spark):
-    rows = [("f", 1, "재고 단가"), ("f", 1, "재고 단가"), ("f", None, "재꼬"), (None, 2, "번허"), ("f", 3, "재고단가")]
-    one, several = (sorted(map(tuple, catalog_match.map_to_catalog(values(spark, rows), catalog(spark), block=b).collect()), key=str) for b in (100, 1))
-    assert one == sorted([("f", 1, 3), ("f", 1, 3), ("f", None, 1), (None, 2, 4)], key=str)
-    # an entry of two others' names is only known by mixtures within its own block
-    assert [r for r in several if r[2]] == [r for r in one if r[2]]
+    rows = [("f", 1, "재고 단가"), ("f", 1, "재고 단가"), ("f", None, "재꼬"), (None, 2, "번허"), ("f", 3, "재고단가"), ("f", 4, "INVT 단가"), ("f", 5, "재고: 번호"), ("f", 6, "new inventory unitprice"), ("f", 7, "Number (INVT)"), ("f", 8, " ")]
+    one, *several = (sorted(map(tuple, catalog_match.map_to_catalog(values(spark, rows), catalog(spark), block=b).collect()), key=str) for b in (100, 1, 5))
+    assert one == sorted([("f", 1, 3), ("f", 1, 3), ("f", None, 1), (None, 2, 4), ("f", 4, 3), ("f", 5, 0), ("f", 6, 3), ("f", 7, 4)], key=str)
+    assert several == [one, one]
     assert {r[2] for r in catalog_match.map_to_catalog(values(spark, rows), catalog(spark, [])).collect()} == {0}
     assert catalog_match.map_to_catalog(values(spark, []), catalog(spark)).count() == 0
 
@@ -63,21 +68,34 @@ def test_edit_distance_against_brute_force(seed):
     assert catalog_match.near(a, b, 9) in (d[len(a), len(b)], d[len(a), len(b)] + 1) and catalog_match.near(a, b, 1) == min(2, catalog_match.near(a, b, 9))
 
 
-def test_mentions_are_the_longest_without_overlap():
-    names = catalog_match.Catalog([(i, n) for i, *n in CATALOG])
-    assert [m[2] for m in names.mentions(catalog_match.keys("재고단가번호"))] == [3, 4]
+def test_mentions_are_the_longest_without_overlap(names):
+    found = lambda v: [m[4] for m in catalog_match.longest(m for m in names.mentions(catalog_match.Value(v)) if m[0] == 0)]
+    assert found("재고 단가 번호") == [3, 4] and found("재고단가번호") == [] and found("a 재고, 재고단가") == [1, 3]
 
 
-def test_long_notes_dont_hide_a_name():
-    names = catalog_match.Catalog([(i, n) for i, *n in CATALOG])
+def test_long_notes_dont_hide_a_name(names):
     for note in (f"({'필수 ' * 300})", f" ※ {'비고 ' * 5000}", f" : {'x' * 50_000}"):
-        assert names.find("재고단가" + note) == (0.0, 3) and names.find("재고다가" + note)[1] == 3 and names.find("벼루" + note)[1] == 0
+        assert names.find("재고단가" + note) == 3 and names.find("재고다가" + note) == 3 and names.find("벼루" + note) == 0
 
 
-def test_mentions_decide_beside_notes():
-    names = catalog_match.Catalog([(i, n) for i, *n in CATALOG])
+def test_mentions_decide_beside_notes(names):
     texts = {"재고단가: 10자리": 3, "재고 Unitprice：필수 항목": 3, "● INVT: see page": 1, "재고: 번호": 0, "벼루: 재고": 0, "재고 쪽: 물어볼 것": 0, "새재고: 필수": 0, "재고 번호: 필수": 0}
-    assert {t: names.find(t)[1] for t in texts} == texts
+    assert {t: names.find(t) for t in texts} == texts
+    # beside other words a mention decides where it makes up half of the keys
+    assert names.find("our inventory unitprice today") == 3 and names.find("재고 쪽에 물어볼 것을 남김") == 0
+
+
+def test_without_the_automaton_embedded_names_are_lost(names):
+    mute = catalog_match.Catalog([])
+    mute.by_gram, mute.grams, mute.alias, mute.shown, mute.longest = names.by_gram, names.grams, {}, names.shown, names.longest
+    assert names.find("재고단가 (필수)") == 3 and mute.mentions(catalog_match.Value("재고단가 (필수)")) == []
+
+
+def test_mixtures_take_what_is_left_of_a_name(spark):
+    rows = [(1, "유형", "Category", "CTG"), (2, "Länge유형", "Laenge Category", "LNG_CTG"), (3, "유형", "Kind", None), (4, None, None, None)]
+    (entries,) = catalog_match.catalog_blocks(catalog(spark, rows))
+    own = catalog_match.Catalog(entries)
+    assert [own.find(v) for v in ("Länge Category", "LNG 유형", "laenge_ctg", "kind", "유형")] == [2, 2, 2, 3, catalog_match.EXACT]
 
 
 # ---- 3: look-alikes
