@@ -35,8 +35,9 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parts = table(spark, sf_dir, "morpheme_result").select(F.lit("morpheme_result.tokens").alias("src_field"), F.col("attr_id").alias("rec"), F.explode("tokens").alias("term"))
-    frags = table(spark, sf_dir, "token_match").select(F.lit("token_match.frag").alias("src_field"), F.col("rec_id").alias("rec"), F.col("frag").alias("term"))
+    # a row of morpheme_result is a record; the fragments of a column are rows of token_match
+    parts = table(spark, sf_dir, "morpheme_result").select(F.lit("morpheme_result.tokens").alias("src_field"), F.col("attr_id").alias("rec"), F.col("tokens").alias("terms"), F.lit(True).alias("whole"))
+    frags = table(spark, sf_dir, "token_match").select(F.lit("token_match.frag").alias("src_field"), F.col("rec_id").alias("rec"), F.array("frag").alias("terms"), F.lit(False).alias("whole"))
     return frequency.frequencies(parts.unionByName(frags))
 
 

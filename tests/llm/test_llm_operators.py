@@ -188,11 +188,16 @@ def test_margin_counts_all_clean_words(spark):
 # ---- 5: frequencies
 
 
+def terms(spark, rows, extra=()):
+    """Rows of one term each as records of several rows."""
+    return spark.createDataFrame(rows, "src_field string, rec bigint, term string").selectExpr("*", "array(term) as terms", "false as whole", *extra)
+
+
 def test_frequencies_against_brute_force(spark):
     rng = random.Random(3)
     words = ["a", "A ", "b", " ", "", None, "é", "é", "hot"]
     rows = [("f" if i % 3 else "g", rng.randrange(60), rng.choice(words + ["hot"] * 20)) for i in range(4000)] + [("f", 1000 + i, f"t{i % 700}") for i in range(1400)]
-    df = spark.createDataFrame(rows, "src_field string, rec bigint, term string").selectExpr("*", "1 as n", "2 as n_occ", "true as heavy", "3 as records")
+    df = terms(spark, rows, ["1 as n", "2 as n_occ", "true as heavy", "3 as records", "4 as slots", "5 as kind"])
     occ, rec = Counter(), {}
     for f, r, t in rows:
         if k := frequency.term_key(t):
@@ -202,12 +207,27 @@ def test_frequencies_against_brute_force(spark):
     want = {(f, k): (n, len(rec[f, k]), "rare" if len(rec[f, k]) < 3 else "common" if len(rec[f, k]) > 0.03 * held[f] else "usual") for (f, k), n in occ.items()}
     got = {(r["src_field"], r["term_key"]): (r["n_occ"], r["n_rec"], r["freq_mark"]) for r in frequency.frequencies(df).collect()}
     assert got == want
-    assert frequency.heavy_terms(df.groupBy("src_field", "rec", "term").count()) is not None
+
+
+def test_whole_records_against_brute_force(spark):
+    """Arrays of one row each beside records of several rows."""
+    rng = random.Random(4)
+    rows = [("f", i, [rng.choice(["a", "b ", "B", None, " ", "hot"] + [f"t{rng.randrange(300)}"]) for _ in range(rng.randrange(6))], True) for i in range(3000)] + [("f", 9, None, True), ("f", 1, ["hot"], True)]
+    rows += [("g", rng.randrange(500), [rng.choice(["x", "y", "hot", None, f"t{rng.randrange(90)}"]) for _ in range(rng.randrange(3))], False) for _ in range(3000)]
+    occ, rec = Counter(), {}
+    for n, (f, r, ts, whole) in enumerate(rows):
+        for t in ts or []:
+            if k := frequency.term_key(t):
+                occ[f, k] += 1
+                rec.setdefault((f, k), set()).add(n if whole else r)
+    df = spark.createDataFrame(rows, "src_field string, rec bigint, terms array<string>, whole boolean")
+    got = {(r["src_field"], r["term_key"]): (r["n_occ"], r["n_rec"]) for r in frequency.frequencies(df).collect()}
+    assert got == {k: (n, len(rec[k])) for k, n in occ.items()}
 
 
 def test_heavy_terms_only_change_the_way(spark, monkeypatch):
     rows = [("f", i, f"t{i % 50}") for i in range(1000)] + [("f", i, "hot") for i in range(500)]
-    df = spark.createDataFrame(rows, "src_field string, rec bigint, term string")
+    df = terms(spark, rows)
     light = sorted(map(tuple, frequency.frequencies(df).collect()))
     monkeypatch.setattr(frequency, "DETECT_ROWS", 1400)
     assert len(frequency.heavy_terms(df)) > 0
@@ -215,9 +235,8 @@ def test_heavy_terms_only_change_the_way(spark, monkeypatch):
 
 
 def test_frequencies_of_nothing_and_of_nulls(spark):
-    schema = "src_field string, rec bigint, term string"
-    assert frequency.frequencies(spark.createDataFrame([], schema)).count() == 0
-    got = frequency.frequencies(spark.createDataFrame([("f", None, "x"), ("f", None, "x"), ("f", 2**60, "x"), ("f", 1, "y" * 100_000)], schema)).collect()
+    assert frequency.frequencies(terms(spark, [])).count() == 0
+    got = frequency.frequencies(terms(spark, [("f", None, "x"), ("f", None, "x"), ("f", 2**60, "x"), ("f", 1, "y" * 100_000)])).collect()
     assert sorted((r["term_key"][:3], r["n_occ"], r["n_rec"]) for r in got) == [("X", 3, 2), ("YYY", 1, 1)]
 
 
