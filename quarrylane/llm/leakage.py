@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import itertools
 import re
 import unicodedata
-from collections import Counter, defaultdict
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,6 +13,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarrylane.session import cut
+
 #: Words of a passage, at least, and one in so many of them may be replaced.
 WORDS, ONE_IN = 12, 10
 #: Any such passage holds so many words in a row unchanged: of 12 words with one replaced, 6; longer ones hold no fewer.
@@ -24,8 +27,8 @@ LINE_MARK = re.compile(r"^[ \t]*(?:(?:[>|*#•+~=‣▪–—-]|//|--|;;)+[ \t]*
 NOT_WORD = re.compile(r"[^\w\s]|_")
 NUMBER = re.compile(r"^\d+")
 CODE = re.compile(r"\d")
-# Units, as they follow a number or stand alone.
-UNIT = re.compile("^(?:seconds?|minutes?|hours?|days?|months?|years?|rows?|keys?|pallets?|messages?|fields?|characters?|[초분일월년줄개통칸자번호건](?:을|를|이|가|은|는|만|의)?|상자(?:를|가)?|번|개월)$")
+#: A word is a unit, and no literal word, if it follows a number in this share of its places in items.
+UNIT_SHARE = 0.5
 
 
 def words(text: str) -> list[str]:
@@ -39,22 +42,52 @@ def few_items(n: int) -> int:
     return max(2, n // 50)
 
 
+def occurrences(text: str) -> dict[str, tuple[int, int]]:
+    """Each word of text that is no number or code: how often it occurs, and how often behind a number."""
+    out: dict[str, tuple[int, int]] = {}
+    before = ""
+    for w in words(text):
+        if not CODE.search(w):
+            n, behind = out.get(w, (0, 0))
+            out[w] = (n + 1, behind + bool(NUMBER.match(before)))
+        before = w
+    return out
+
+
+class Kinds(dict):
+    """Each word's id, 0 if no item holds it, and its type, in one number; unknown words are looked at when they come."""
+
+    def __init__(self, items: "Items"):
+        super().__init__()
+        self.items = items
+
+    def __missing__(self, w: str) -> int:
+        got = self.items.ids.get(w, 0) << 32 | self.items.type_id(w)
+        if len(self) < 500_000:
+            self[w] = got
+        return got
+
+
 class Items:
     """Evaluation items, ready to be looked for.
 
-    literal: the words that aren't names, of all items, those of other blocks too; numbers, codes and units have
+    literal: the words that are neither names nor units, of all items, those of other blocks too; numbers and codes have
     placeholders of their own. A window is kept as a template, or, if it has fewer than LITERALS literal words, as it
     stands.
     """
 
     def __init__(self, items: list[tuple[int, str]], literal: set[str] | None = None):
         self.items = [(i, words(t)) for i, t in items]
-        held = Counter(w for _, ws in self.items for w in set(ws))
-        self.literal = {w for w, n in held.items() if n > few_items(len(self.items)) and not CODE.search(w)} if literal is None else literal
-        self.ids = {w: k for k, w in enumerate(sorted(held.keys() | self.literal), 4)}
+        held = {w for _, ws in self.items for w in ws}
+        if literal is None:
+            seen = [occurrences(t) for _, t in items]
+            counts = {w: [sum(x) for x in zip(*((1, *o[w]) for o in seen if w in o), strict=True)] for w in {w for o in seen for w in o}}
+            literal = {w for w, (n, occ, behind) in counts.items() if n > few_items(len(items)) and behind < UNIT_SHARE * occ}
+        self.literal = literal
+        self.ids = {w: k for k, w in enumerate(sorted(held | self.literal), 4)}
         self.own = [np.array([self.ids[w] for w in ws], np.int64) for _, ws in self.items]
         self.typed = [np.array([self.type_id(w) for w in ws], np.int64) for _, ws in self.items]
-        self.kinds: dict[str, tuple[int, int]] = {}
+        self.kinds = Kinds(self)
         exact, template = defaultdict(list), defaultdict(list)
         for k, (own, typed) in enumerate(zip(self.own, self.typed, strict=True)):
             literal = np.convolve(typed > 3, np.ones(SEED), "valid") if len(typed) >= SEED else []
@@ -75,15 +108,6 @@ class Items:
             return 1
         return 2 if CODE.search(w) else 3
 
-    def kind(self, w: str) -> tuple[int, int]:
-        """The word's id, 0 if no item holds it, and its type."""
-        got = self.kinds.get(w)
-        if got is None:
-            got = (self.ids.get(w, 0), 3 if UNIT.match(w) and w not in self.literal else self.type_id(w))
-            if len(self.kinds) < 500_000:
-                self.kinds[w] = got
-        return got
-
 
 def window_hashes(ids: np.ndarray, size: int) -> np.ndarray:
     """A hash of each window of ids; -1 for one that holds an id 0."""
@@ -113,7 +137,10 @@ def among(h: np.ndarray, keys: np.ndarray) -> np.ndarray:
 def passage(same: np.ndarray, least: int = WORDS, one_in: int = ONE_IN) -> tuple[int, int] | None:
     """The first longest run (start, length) of at least `least` words with at most one in one_in of them different,
     whose first and last words are the same; None if there is none."""
-    off = np.r_[-1, np.nonzero(~same)[0], len(same)]
+    # of a passage as short as may be, all words but those that may be replaced are the same
+    if np.count_nonzero(same) < least - least // one_in:
+        return None
+    off = np.concatenate(([-1], np.flatnonzero(~same), [len(same)]))
     best = None
     for k in range(len(off) - 1):
         if k and k * one_in > len(same):
@@ -140,7 +167,7 @@ def consistent(mine: np.ndarray, theirs: list[str], typed: np.ndarray) -> bool:
     return True
 
 
-def find(doc: list[str], own: np.ndarray, typed: np.ndarray, items: Items, hits: list[tuple[int, int, int]]) -> list[tuple[int, str, int, int]]:
+def find(doc: list[str], own: np.ndarray, typed: np.ndarray, items: Items, hits: list[tuple[int, int, int]], verbatim_only: bool = False) -> list[tuple[int, str, int, int]]:
     """Of a document's window hits (place, item, place in the item): (item, kind, first word, words).
 
     A diagonal whose windows all fill their slots inconsistently holds no verbatim passage, which has SEED words in a row
@@ -155,7 +182,7 @@ def find(doc: list[str], own: np.ndarray, typed: np.ndarray, items: Items, hits:
         mine, theirs = items.own[k][low:high], own[low + shift : high + shift]
         kind = "verbatim"
         got = passage(mine == theirs) if sound else None
-        if got is None:
+        if got is None and not verbatim_only:
             kind, got = "reparameterised", passage(items.typed[k][low:high] == typed[low + shift : high + shift])
             if got is not None:
                 a, b = low + got[0], low + got[0] + got[1]
@@ -169,20 +196,22 @@ def find(doc: list[str], own: np.ndarray, typed: np.ndarray, items: Items, hits:
 
 
 def literal_words(items: DataFrame) -> set[str]:
-    """The words of more than few_items of all items, without numbers and codes: at most fifty times as many as an item
-    has on average, or, of up to 150 items, a third of all their words."""
+    """The words of more than few_items of all items that aren't numbers, codes or units: at most fifty times as many as an
+    item has on average, or, of up to 150 items, a third of all their words."""
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame([(w,) for t in b["text"] for w in {"", *words(t)} if not CODE.search(w)], columns=["word"])
+            # the row of no word counts the items
+            out = [(w, *n) for t in b["text"] for w, n in [("", (0, 0)), *occurrences(t).items()]]
+            yield pd.DataFrame(out, columns=["word", "occ", "behind"])
 
-    # the row of no word counts the items
-    held = items.filter("text is not null and item_id is not null").select("text").mapInPandas(each, "word string").groupBy("word").agg(F.count("*").alias("n")).persist()
-    try:
-        total = held.filter("word = ''").collect()
-        return {r["word"] for r in held.filter(F.col("n") > few_items(total[0]["n"])).filter("word <> ''").collect()} if total else set()
-    finally:
-        held.unpersist()
+    own = items.filter("text is not null and item_id is not null").select("text")
+    held = cut(own.mapInPandas(each, "word string, occ bigint, behind bigint").groupBy("word").agg(F.count("*").alias("n"), F.sum("occ").alias("occ"), F.sum("behind").alias("behind")))
+    total = held.filter("word = ''").collect()
+    if not total:
+        return set()
+    often = held.filter("word <> ''").filter(F.col("n") > few_items(total[0]["n"])).filter(F.col("behind") < UNIT_SHARE * F.col("occ"))
+    return {r["word"] for r in often.select("word").collect()}
 
 
 def item_blocks(items: DataFrame, block: int) -> Iterator[list[tuple[int, str]]]:
@@ -196,14 +225,14 @@ def item_blocks(items: DataFrame, block: int) -> Iterator[list[tuple[int, str]]]
         yield rows
 
 
-def leaks(documents: DataFrame, items: DataFrame, block: int = 5000) -> DataFrame:
+def leaks(documents: DataFrame, items: DataFrame, block: int = 5000, verbatim_only: bool = False) -> DataFrame:
     """One row (doc_id, item_id, kind, first_word, n_words) for each document and item whose passages meet.
 
     Numbers, codes, names and units become typed placeholders; windows of SEED words are hashed and joined with those of
     the items, as templates, or, those with fewer than LITERALS literal words, as they stand; what meets, and fills the
     slots of a window consistently, is aligned word by word. kind is 'verbatim' where at least
     WORDS words in a row stand in the text with at most one in ONE_IN replaced, and 'reparameterised' where only the
-    template does and each slot is filled consistently. first_word and n_words give the longest such passage, of
+    template does and each slot is filled consistently; verbatim_only leaves these out. first_word and n_words give the longest such passage, of
     equal ones the first.
 
     Null, empty and too short texts and items, and items without an id, give no row; a null doc_id stays null. Repeated documents each give their rows; of items with the
@@ -224,7 +253,7 @@ def leaks(documents: DataFrame, items: DataFrame, block: int = 5000) -> DataFram
                 out = []
                 for at in range(0, len(b), 256):
                     part = b.iloc[at : at + 256]
-                    out += in_batch(part["doc_id"].tolist(), part["text"].tolist(), wanted)
+                    out += in_batch(part["doc_id"].tolist(), part["text"].tolist(), wanted, verbatim_only)
                 yield pd.DataFrame(out, columns=["doc_id", "item_id", "kind", "first_word", "n_words"])
 
         one = documents.mapInPandas(search, schema)
@@ -233,11 +262,13 @@ def leaks(documents: DataFrame, items: DataFrame, block: int = 5000) -> DataFram
     return found.withColumn("doc_id", F.col("doc_id").cast("bigint"))
 
 
-def in_batch(keys: list[int], texts: list[str], items: Items) -> list[tuple]:
+def in_batch(keys: list[int], texts: list[str], items: Items, verbatim_only: bool = False) -> list[tuple]:
     """The rows of some documents; their windows are hashed at once."""
     docs = [words(t) for t in texts]
-    gap = [(0, 0)] * SEED
-    kinds = np.array([x for d in docs for x in ([items.kind(w) for w in d] + gap)], np.int64).reshape(-1, 2)
+    gap = [""] * SEED
+    items.kinds[""] = 0
+    both = np.fromiter(map(items.kinds.__getitem__, itertools.chain.from_iterable(itertools.chain(d, gap) for d in docs)), np.int64, sum(len(d) + SEED for d in docs))
+    kinds = np.stack([both >> 32, both & 0xFFFFFFFF], axis=1)
     start = np.cumsum([0] + [len(d) + SEED for d in docs])
     hits = defaultdict(list)
     for column, keyed, table in ((0, items.exact_keys, items.exact), (1, items.template_keys, items.template)):
@@ -248,5 +279,5 @@ def in_batch(keys: list[int], texts: list[str], items: Items) -> list[tuple]:
     out = []
     for d, h in hits.items():
         part = kinds[start[d] : start[d] + len(docs[d])]
-        out += [(keys[d], *x) for x in find(docs[d], part[:, 0], part[:, 1], items, h)]
+        out += [(keys[d], *x) for x in find(docs[d], part[:, 0], part[:, 1], items, h, verbatim_only)]
     return out

@@ -46,7 +46,7 @@ def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return p7_leaks(spark, sf_dir).filter("kind = 'verbatim'").select("doc_id", "item_id")
+    return leakage.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"), verbatim_only=True).select("doc_id", "item_id")
 
 
 def p7_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
