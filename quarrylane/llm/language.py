@@ -9,14 +9,18 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql import window as W
 
 LANGS = ("ko", "en", "ja", "zh", "de", "es")
-#: Labelled rows of each language, about, on which the model is fitted, and rows at most.
+#: Labelled rows of each language on which the model is fitted, and rows at most.
 TRAIN_ROWS, TRAIN_MOST = 700, 6000
 #: Hashed features; characters of a feature, at most.
 BITS, ORDER = 17, 3
 #: Letters that a piece of text needs to speak for a language, and from which it speaks with full weight.
 FEWEST, FULL = 4, 24
+#: The lowest temperature.
+COOLEST = 0.7
 #: What a change of language must gain, in nats.
 SWITCH = 2.0
 
@@ -46,6 +50,7 @@ LATIN_RUN = re.compile(r"(?:[A-Za-zÀ-ɏ'’,;:()\"“”-]+[ \t.]+){4,}[A-Za-z
 LETTER = re.compile(r"[^\W\d_]")
 NO_LETTERS = re.compile(r"[\W\d_]+")
 EAST = re.compile("[ᄀ-ᇿ぀-ヿ㐀-鿿가-힣]")
+NOT_EAST = re.compile("[^ᄀ-ᇿ぀-ヿ㐀-鿿가-힣]+")
 
 
 def label_language(label: str | None) -> str | None:
@@ -95,7 +100,7 @@ def sentences(text: str) -> list[str]:
 
 def letters(s: str) -> int:
     """Letters of s; an East Asian one counts twice."""
-    return len(LETTER.findall(s)) + len(EAST.findall(s))
+    return len(NO_LETTERS.sub("", s)) + (0 if s.isascii() else len(NOT_EAST.sub("", s)))
 
 
 class Features:
@@ -192,10 +197,11 @@ def fit_ftrl(texts: list[str], y: np.ndarray, alpha: float = 0.012, beta: float
 
 
 def calibrate(weights: np.ndarray, bias: np.ndarray, texts: list[str], y: np.ndarray) -> float:
-    """The temperature under which held-out sentences are the likeliest."""
+    """The temperature under which held-out sentences are the likeliest. Those that agree with their labels can't tell how
+    wrong others may be, so it isn't below COOLEST."""
     z = scored(texts, weights) + bias
     best = (np.inf, 1.0)
-    for t in np.geomspace(0.2, 5, 33):
+    for t in np.geomspace(COOLEST, 5, 25):
         p = softmax(z / t)
         best = min(best, (float(-np.log(np.maximum(p[np.arange(len(y)), y], 1e-9)).mean()), float(t)))
     return best[1]
@@ -203,7 +209,7 @@ def calibrate(weights: np.ndarray, bias: np.ndarray, texts: list[str], y: np.nda
 
 def train(labelled: list[tuple[str, str]]) -> Model:
     """The model from (text, language) pairs. Some labels are wrong and some texts mixed: after a first fit, sentences
-    that it surely gives another language are left out of the second. A tenth is held out for the temperature."""
+    that it gives another language are left out of the second. A tenth of the others is held out for the temperature."""
     texts, y = [], []
     for text, lang in labelled:
         for s in sentences(text):
@@ -214,12 +220,11 @@ def train(labelled: list[tuple[str, str]]) -> Model:
         return Model(np.zeros((1 << BITS, len(LANGS)), np.float32), np.zeros(len(LANGS)), 1.0)
     y = np.array(y)
     weights, bias = fit_ftrl(texts, y, rounds=1)
-    p = softmax(scored(texts, weights) + bias)
-    sound = np.nonzero((p.argmax(1) == y) | (p.max(1) < 0.7))[0]
+    sound = np.nonzero((scored(texts, weights) + bias).argmax(1) == y)[0]
     held, fit = sound[::10], np.setdiff1d(sound, sound[::10])
     if not len(fit):
         held = fit = sound if len(sound) else np.arange(len(y))
-    weights, bias = fit_ftrl([texts[i] for i in fit], y[fit])
+    weights, bias = fit_ftrl([texts[i] for i in fit], y[fit], rounds=1)
     return Model(weights, bias, calibrate(weights, bias, [texts[i] for i in held], y[held]))
 
 
@@ -229,10 +234,10 @@ def stretches(model: Model, texts: list[str | None]) -> list[list[tuple[str, flo
     The likeliest course of languages over the sentences, where each change costs SWITCH; short sentences weigh less.
     The confidence is the weighted mean probability of the language over the stretch's sentences.
     """
-    parts = [[s for s in sentences(t) if letters(s) >= FEWEST] if t else [] for t in texts]
-    flat = [s for p in parts for s in p]
+    parts = [[(s, n) for s in sentences(t) if (n := letters(s)) >= FEWEST] if t else [] for t in texts]
+    flat = [s for p in parts for s, _ in p]
     logp = np.maximum(model.log_probabilities(flat), -12.0) if flat else np.zeros((0, len(LANGS)))
-    weight = np.minimum(np.array([letters(s) for s in flat], float) / FULL, 1.0)
+    weight = np.minimum(np.array([n for p in parts for _, n in p], float) / FULL, 1.0)
     out, at = [], 0
     for p in parts:
         e, w = logp[at : at + len(p)], weight[at : at + len(p)]
@@ -259,17 +264,23 @@ def stretches(model: Model, texts: list[str | None]) -> list[list[tuple[str, flo
     return out
 
 
+@F.pandas_udf(T.StringType())
+def named(labels: pd.Series) -> pd.Series:
+    """label_language of each label; each distinct one of a batch is read once."""
+    return labels.map({x: label_language(x) for x in labels.unique()})
+
+
 def labelled_sample(documents: DataFrame, rows: int = TRAIN_ROWS, most: int = TRAIN_MOST) -> list[tuple[str, str]]:
-    """About as many labelled texts of each language, chosen by a hash of their keys, TRAIN_MOST at most."""
-    known = documents.select("lang").distinct().limit(10_000).collect()
-    names = [(r[0], k) for r in known if (k := label_language(r[0])) in LANGS]
-    if not names:
-        return []
-    lang = F.coalesce(*[F.when(F.col("lang").isin([n for n, k in names if k == c]), c) for c in LANGS])
-    own = documents.filter("length(text) >= 40").withColumn("label", lang).filter("label is not null")
+    """Of each language `rows` labelled texts, `most` at most in all: those of the smallest hashes of key and text, however
+    their labels are written."""
+    rows = min(rows, most // len(LANGS))
+    own = documents.filter("length(text) >= 40 and lang is not null").select("doc_id", "text", named("lang").alias("label")).filter(F.col("label").isin(*LANGS))
     counts = {r[0]: r[1] for r in own.groupBy("label").count().collect()}
-    share = F.coalesce(*[F.when(F.col("label") == c, F.lit(min(1.0, rows / n))) for c, n in counts.items()], F.lit(0.0))
-    picked = own.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < share * (1 << 20)).select("text", "label").limit(most)
+    # more than enough of them, so that only few are ranked
+    share = F.coalesce(*[F.when(F.col("label") == c, F.lit(min(1.0, (1.5 * rows + 100) / n))) for c, n in counts.items()], F.lit(0.0))
+    near = own.withColumn("h", F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 40))).filter(F.col("h") < share * (1 << 40))
+    order = W.Window.partitionBy("label").orderBy("h", "doc_id", "text")
+    picked = near.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= rows).select("text", "label")
     return [(r[0], r[1]) for r in sorted(picked.collect())]
 
 
@@ -285,7 +296,7 @@ def languages(documents: DataFrame, model: Model | None = None) -> DataFrame:
     Nothing but the labels' counts is shuffled.
     """
     documents = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", "lang").filter("text is not null")
-    named = documents.withColumn("doc_id", F.col("doc_id").cast("string"))
+    keyed = documents.withColumn("doc_id", F.col("doc_id").cast("string"))
     model = model or train(labelled_sample(documents))
     shared = documents.sparkSession.sparkContext.broadcast((model.weights, model.bias, model.temperature))
 
@@ -299,7 +310,7 @@ def languages(documents: DataFrame, model: Model | None = None) -> DataFrame:
                     out += [(key, label_language(label), i, lang, c, len(found)) for i, (lang, c) in enumerate(found, 1)]
             yield pd.DataFrame(out, columns=["doc_id", "label", "seg_no", "lang", "confidence", "n_stretches"])
 
-    found = named.mapInPandas(work, "doc_id string, label string, seg_no int, lang string, confidence double, n_stretches int")
+    found = keyed.mapInPandas(work, "doc_id string, label string, seg_no int, lang string, confidence double, n_stretches int")
     return found.withColumn("doc_id", F.col("doc_id").cast("bigint"))
 
 
