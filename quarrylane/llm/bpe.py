@@ -45,10 +45,12 @@ class PairTable:
         while len(a) * 3 > 1 << bits:
             bits += 1
         self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
+        if len(a) and max(a.max(), b.max(), merged.max()) >= 1 << 31:
+            raise ValueError("ids must fit 31 bits")
         self.keys = np.full(1 << bits, -1, np.int64)
         self.rank = np.full(1 << bits, np.iinfo(np.int32).max, np.int32)
         self.merged = np.zeros(1 << bits, np.int32)
-        key = a.astype(np.int64) << 17 | b.astype(np.int64)
+        key = a.astype(np.int64) << 31 | b.astype(np.int64)
         slot, left = self.home(key), np.arange(len(key))
         while len(left):
             free = self.keys[slot[left]] == -1
@@ -64,7 +66,7 @@ class PairTable:
 
     def find(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """The slot of each pair, or that of an unused slot with the highest rank."""
-        key = a.astype(np.int64) << 17 | b.astype(np.int64)
+        key = a.astype(np.int64) << 31 | b.astype(np.int64)
         slot = self.home(key)
         out = slot.copy()
         todo = np.nonzero(self.keys[slot] != key)[0]
