@@ -89,139 +89,302 @@ def derived_schema(m: DataFrame) -> DataFrame:
     return best.select(F.col("to_be_table").alias("table_name"), F.col("to_be_column").alias("column_name"), "data_type")
 
 
+def with_table_kinds(m: DataFrame) -> DataFrame:
+    """m with table_kind: drop where a table has no new name, split where it has several, merge where its new name is that of
+    several tables, rename otherwise. Counted over the whole mapping."""
+    old = m.groupBy("as_is_table").agg(F.count_distinct("to_be_table").alias("targets"), F.min("to_be_table").alias("target"))
+    new = m.filter("to_be_table is not null").groupBy(F.col("to_be_table").alias("target")).agg(F.count_distinct("as_is_table").alias("sources"))
+    kind = F.when(F.col("targets") == 0, "drop").when(F.col("targets") > 1, "split").when(F.col("sources") > 1, "merge").otherwise("rename")
+    kinds = old.join(new, "target", "left").select("as_is_table", kind.alias("table_kind"))
+    return m.join(kinds, "as_is_table")
+
+
 @dataclass
 class Mapping:
-    """A mapping ready for look-ups: tables to their new names (None: split or dropped), columns to what becomes of them."""
+    """A mapping ready for look-ups: tables to their new names (None: split or dropped) and kinds, columns to what becomes
+    of them. Columns that several different rows map are in `twice`: what becomes of them is not known."""
 
     tables: dict[str, str | None] = field(default_factory=dict)
+    kinds: dict[str, str] = field(default_factory=dict)
     columns: dict[tuple[str, str], dict] = field(default_factory=dict)
+    twice: set[tuple[str, str]] = field(default_factory=set)
 
     @classmethod
     def of(cls, rows: list[dict]) -> Mapping:
+        """Rows: as_is_table, as_is_column, to_be_table, to_be_column, kind, read, write, where_, value_map; optional:
+        table_kind, value_default, targets and reverse of a split."""
         out, targets = cls(), defaultdict(set)
         for r in rows:
-            out.columns[r["as_is_table"], r["as_is_column"]] = r
+            key = (r["as_is_table"], r["as_is_column"])
+            if out.columns.setdefault(key, r) != r:
+                out.twice.add(key)
             if r["to_be_table"]:
                 targets[r["as_is_table"]].add(r["to_be_table"])
+            if r.get("table_kind"):
+                out.kinds[r["as_is_table"]] = r["table_kind"]
         for t in {r["as_is_table"] for r in rows}:
-            out.tables[t] = next(iter(targets[t])) if len(targets[t]) == 1 else None
+            kind = out.kinds.setdefault(t, ("drop", "rename", "split")[min(len(targets[t]), 2)])
+            out.tables[t] = next(iter(targets[t])) if len(targets[t]) == 1 and kind != "drop" else None
         return out
 
 
-def rewrite(sql: str, m: Mapping, shown: str | None = None) -> dict:
-    """G1 to G12 for one statement: to_be_sql, status, changes and warnings. `shown` is the text that is changed where sql is
-    read; both have the same places (see rewrite_mapper).
+@dataclass
+class Place:
+    """Where a statement names a column: its token, the text there, qualifier, column, table, and the clause. values is the
+    expression that an INSERT list gives the column (first token, token behind the last), None where a query gives it."""
+
+    at: int
+    raw: str
+    qualifier: str
+    column: str
+    table: str | None
+    clause: str
+    holders: list[str]
+    listed: bool = False
+    values: tuple[int, int] | None = None
+
+
+class Text:
+    """A statement's tokens with their texts as written."""
+
+    def __init__(self, sql: str):
+        self.sql = sql
+        self.r = sqltext.Reader(sql)
+        self.s = self.r.read()
+        self.t = self.r.t
+
+    def end(self, i: int) -> int:
+        """Where the text of token i ends."""
+        m = sqltext.TOKEN.match(self.sql, self.t[i].at)
+        return m.end() if m else self.t[i].at + len(self.t[i].text)
+
+    def raw(self, i: int) -> str:
+        return self.sql[self.t[i].at : self.end(i)]
+
+    def insert_lists(self) -> dict[int, tuple[str, tuple[int, int] | None]]:
+        """Each column token of an INSERT's list: the table, and the tokens of the value at the same place."""
+        r, out = self.r, {}
+        merged = next((n for n, roles in self.s.tables.items() if "merge" in roles), "")
+        for i in range(len(self.t)):
+            if r.word(i) != "INSERT":
+                continue
+            into = r.word(i + 1) == "INTO"
+            target, j = (sqltext.last(r.word(i + 2)), i + 3) if into else (merged, i + 1)
+            if r.op(j) != "(" or r.word(j + 1) in ("SELECT", "WITH"):
+                continue
+            columns = [a for a, _ in self.items(j)]
+            k = r.close(j) + 1
+            values = self.items(k + 1) if r.word(k) == "VALUES" and r.op(k + 1) == "(" else []
+            for n, c in enumerate(columns):
+                out[c] = (target, values[n] if n < len(values) else None)
+        return out
 
-    Only tokens are replaced, so that layout, comments, literals and placeholders stay. Names are looked up as they were.
-    A bare column counts if just one table of the statement maps it. Values in comparisons and IN lists are mapped;
-    converted columns are wrapped: by `write` what SET assigns, by `where_` in conditions, by `read` in projections.
-    """
-    if not sql or not sql.strip():
-        return {"to_be_sql": sql, "status": "PARSE_FAIL", "changes": [], "warnings": ["empty statement"]}
-    r = sqltext.Reader(sql)
-    s = r.read()
-    t = r.t
-    changes: Counter = Counter()
-    warnings: list[str] = []
-    help_ = False
-    edits: list[tuple[int, int, str]] = []
-    own = [x for x in s.tables if x in m.tables]
-    for x in own:
-        if m.tables[x] is None:
-            warnings.append(f"table {x} is split or dropped")
-            help_ = True
-    clause, depth_clause = "", {}
-    depth = 0
-
-    def scope_at(i: int) -> sqltext.Scope:
+    def items(self, open_: int) -> list[tuple[int, int]]:
+        """The items between the parenthesis at open_ and its end: first token, token behind the last."""
+        out, start, depth, end = [], open_ + 1, 0, self.r.close(open_)
+        for k in range(open_ + 1, end + 1):
+            if k == end or depth == 0 and self.r.op(k) == ",":
+                if k > start:
+                    out.append((start, k))
+                start = k + 1
+            depth += (self.r.op(k) == "(") - (self.r.op(k) == ")")
+        return out
+
+    def scope(self, i: int) -> sqltext.Scope:
         while i >= 0:
-            if i in r.scopes:
-                return r.scopes[i]
+            if i in self.r.scopes:
+                return self.r.scopes[i]
             i -= 1
         return sqltext.Scope(0)
 
-    for i, tok in enumerate(t):
-        depth += (r.op(i) == "(") - (r.op(i) == ")")
-        w = r.word(i)
-        if w in ("SELECT", "FROM", "WHERE", "ON", "SET", "INTO", "VALUES", "HAVING", "GROUP", "ORDER", "UPDATE", "JOIN", "USING"):
-            clause = depth_clause[depth] = w
-        elif r.op(i) == ")":
-            clause = depth_clause.get(depth, clause)
-        if not w or w in sqltext.KEYWORDS or w.isdigit():
-            continue
-        raw = sql[tok.at : tok.at + len(re.match(sqltext.TOKEN, sql[tok.at :])[0])] if (sqltext.TOKEN.match(sql, tok.at)) else w
-        name = sqltext.last(w)
-        before = r.word(i - 1)
-        if (before in ("FROM", "JOIN", "INTO", "UPDATE", "USING") or r.op(i - 1) == "," and clause == "FROM") and name in m.tables and "(" not in raw:
+    def tables(self, known) -> list[tuple[int, str]]:
+        """The tokens that name tables of known as tables, with the table."""
+        return [(i, n) for i, n, _ in self.names(known) if n]
+
+    def names(self, known):
+        """Walks the tokens: (token, table or '', clause) of every word that is no keyword."""
+        r, clause, by_depth, depth = self.r, "", {}, 0
+        for i in range(len(self.t)):
+            depth += (r.op(i) == "(") - (r.op(i) == ")")
+            w = r.word(i)
+            if w in ("SELECT", "FROM", "WHERE", "ON", "SET", "INTO", "VALUES", "HAVING", "GROUP", "ORDER", "UPDATE", "JOIN", "USING"):
+                clause = by_depth[depth] = w
+            elif r.op(i) == ")":
+                clause = by_depth.get(depth, clause)
+            if not w or w in sqltext.KEYWORDS or w.isdigit():
+                continue
+            name = sqltext.last(w)
+            a_table = r.word(i - 1) in ("FROM", "JOIN", "INTO", "UPDATE", "USING") or r.op(i - 1) == "," and clause == "FROM"
+            yield i, name if a_table and name in known and "(" not in self.raw(i) else "", clause
+
+    def columns(self, m: Mapping) -> list[Place]:
+        """The places of columns, with the table each belongs to: a bare column's is the only one of the statement that maps
+        it."""
+        out, lists = [], self.insert_lists()
+        for i, table, clause in self.names(m.tables):
+            if table or self.r.word(i - 1) == "AS":
+                continue
+            w = self.r.word(i)
+            q, _, c = w.rpartition(".")
+            q = sqltext.last(q)
+            if self.r.op(i + 1) == "(" and not q:
+                continue
+            place = Place(i, self.raw(i), q, c, None, clause, [])
+            if i in lists:
+                place.table, place.values, place.listed = lists[i][0], lists[i][1], True
+            elif q:
+                place.table = self.scope(i).resolve(q)
+            elif clause == "INTO":
+                place.table = self.s.main
+            else:
+                place.holders = [x for x in self.s.tables if (x, c) in m.columns]
+                place.table = place.holders[0] if len(place.holders) == 1 else None
+            out.append(place)
+        return out
+
+
+class Rewriter:
+    """One statement rewritten by a mapping."""
+
+    def __init__(self, sql: str, m: Mapping):
+        self.x, self.m = Text(sql), m
+        self.changes: Counter = Counter()
+        self.warnings: list[str] = []
+        self.help = False
+        self.edits: list[tuple[int, int, str]] = []
+
+    def warn(self, text: str, help_: bool = False) -> None:
+        self.help |= help_
+        if text not in self.warnings:
+            self.warnings.append(text)
+
+    def put(self, i: int, text: str) -> None:
+        """Token i becomes text."""
+        at = self.x.t[i].at
+        self.edits.append((at, self.x.end(i) - at, text))
+
+    def wrap(self, span: tuple[int, int], form: str) -> None:
+        """The tokens of span inside form."""
+        before, _, after = form.partition("{src}")
+        start, end = self.x.t[span[0]].at, self.x.end(span[1] - 1)
+        self.edits.append((start, 0, before))
+        self.edits.append((end, 0, after.replace("{src}", self.x.sql[start:end])))
+
+    def run(self) -> None:
+        m, s = self.m, self.x.s
+        for t in (t for t in s.tables if t in m.tables):
+            if m.kinds[t] != "rename":
+                self.warn(f"table {t} is to {m.kinds[t]}", True)
+        involved = sorted(t for t in s.tables if m.kinds.get(t) in ("split", "merge"))
+        if involved and s.joined:
+            self.warn(f"join with tables to split or merge: {', '.join(involved)}", True)
+        for i, name in self.x.tables(m.tables):
             new = m.tables[name]
             if new and new != name:
-                edits.append((tok.at, len(raw), re.sub(r"\w+$", new, raw)))
-                changes["table", name, new, "table_rename"] += 1
-            continue
-        q, _, c = w.rpartition(".")
-        q = sqltext.last(q)
-        if r.op(i + 1) == "(" and not q or before == "AS":
-            continue
-        scope = scope_at(i)
-        if q:
-            table = scope.resolve(q)
-        elif clause == "INTO":
-            table = s.main
-        else:
-            holders = [x for x in s.tables if (x, c) in m.columns]
-            table = holders[0] if len(holders) == 1 else None
-            if len(holders) > 1:
-                warnings.append(f"column {c} is ambiguous")
-        if not table:
-            continue
-        row = m.columns.get((table, c))
-        new_q = m.tables.get(q) or q if q == table else q
+                self.put(i, re.sub(r"\w+$", new, self.x.raw(i)))
+                self.changes["table", name, new, "table_rename"] += 1
+        for place in self.x.columns(m):
+            if len(place.holders) > 1:
+                self.warn(f"column {place.column} is ambiguous")
+            elif place.table:
+                self.column(place, m.columns.get((place.table, place.column)))
+
+    def column(self, p: Place, row: dict | None) -> None:
+        q = p.qualifier
+        new_q = self.m.tables.get(q) or q if q == p.table else q
+        name = f"{p.table}.{p.column}"
         if row is None:
             if q and new_q != q:
-                edits.append((tok.at, len(raw), re.sub(r"^(?:\w+\.)*\w+\.", new_q + ".", raw)))
-            continue
-        kind, new = row["kind"], row["to_be_column"]
-        place = f"{table}.{c}"
+                self.put(p.at, re.sub(r"^(?:\w+\.)*\w+\.", new_q + ".", p.raw))
+            return
+        prefix = (p.raw[: p.raw.rfind(".") + 1] if new_q == q else f"{new_q}.") if q else ""
+        kind = row["kind"]
+        if (p.table, p.column) in self.m.twice:
+            return self.warn(f"{name} is mapped more than once", True)
         if kind == "drop":
-            if f"{place} is dropped" not in warnings:
-                warnings.append(f"{place} is dropped")
-            continue
-        text = (raw[: raw.rfind(".") + 1] if new_q == q else f"{new_q}.") + new if q else new
-        if new != c:
-            changes["column", place, f"{row['to_be_table']}.{new}", "column_rename"] += 1
+            return self.warn(f"{name} is dropped")
+        if kind == "merge":
+            return self.warn(f"{name} is merged with others; what it holds must be taken apart by hand", True)
+        if kind == "split":
+            return self.split(p, row, name, prefix)
+        new = row["to_be_column"]
+        text = prefix + new
+        if new != p.column:
+            self.changes["column", name, f"{row['to_be_table']}.{new}", "column_rename"] += 1
         if kind == "value_map":
-            spans = literals_beside(r, i)
-            for k in spans:
-                old = t[k].text[1:-1]
-                mapped = (row["value_map"] or {}).get(old)
-                if mapped is None:
-                    warnings.append(f"{place}: value {old} has no mapping")
-                else:
-                    edits.append((t[k].at, len(t[k].text), f"'{mapped}'"))
-                    changes["value", f"'{old}'", mapped, "value_mapping"] += 1
+            self.values(p, row, name)
         if kind == "type_convert":
-            form = {"SELECT": row["read"], "WHERE": row["where_"] or row["read"], "ON": row["where_"] or row["read"], "HAVING": row["where_"] or row["read"]}.get(clause)
-            if clause == "SET" and r.op(i + 1) == "=":
-                a, b = value_behind(r, i + 2)
-                if row["write"] and a < b:
-                    start, end = t[a].at, t[b - 1].at + len(t[b - 1].text)
-                    edits.append((start, 0, row["write"].split("{src}")[0]))
-                    edits.append((end, 0, row["write"].split("{src}")[1]))
-                    changes["type_wrap", place, row["write"], "type_conversion"] += 1
-            elif form:
-                text = form.replace("{src}", text)
-                changes["type_wrap", place, form, "type_conversion"] += 1
-            elif clause in ("INTO", "VALUES"):
-                warnings.append(f"{place}: inserted values must be converted")
-        edits.append((tok.at, len(raw), text))
+            text = self.converted(p, row, name, text)
+        self.put(p.at, text)
+
+    def split(self, p: Place, row: dict, name: str, prefix: str) -> None:
+        """A split column is put together again where it is selected, if the mapping says how."""
+        targets, back = list(row.get("targets") if row.get("targets") is not None else []), row.get("reverse")
+        if p.clause != "SELECT" or p.listed:
+            return self.warn(f"{name} is split and used outside a projection", True)
+        if not back:
+            return self.warn(f"{name} is split, and nothing says how to put it together", True)
+        text = back
+        for t in targets:
+            c = sqltext.last(t)
+            text = re.sub(r"\{" + re.escape(c) + r"\}", lambda _, c=c: prefix + c, text, flags=re.I)
+        self.put(p.at, text)
+        self.changes["column", name, ",".join(targets).upper(), "column_split"] += 1
+
+    def values(self, p: Place, row: dict, name: str) -> None:
+        """Literals beside a column of mapped values."""
+        for k in literals_beside(self.x.r, p.at):
+            old = self.x.t[k].text[1:-1]
+            new = (row["value_map"] or {}).get(old)
+            if new is None:
+                new = row.get("value_default")
+                self.warn(f"{name}: value {old} has no mapping" + ("" if new is None else f", {new} is taken"))
+            if new is not None:
+                self.put(k, f"'{new}'")
+                self.changes["value", f"'{old}'", new, "value_mapping"] += 1
+
+    def converted(self, p: Place, row: dict, name: str, text: str) -> str:
+        """A converted column's text; what is written to it is wrapped."""
+        read = row["read"]
+        form = {"SELECT": read, "WHERE": row["where_"] or read, "ON": row["where_"] or read, "HAVING": row["where_"] or read}.get(p.clause)
+        span = None
+        if p.listed:
+            form, span = None, p.values
+            if span is None and row["write"]:
+                self.warn(f"{name}: inserted values must be converted")
+        elif p.clause == "SET" and self.x.r.op(p.at + 1) == "=":
+            form, span = None, value_behind(self.x.r, p.at + 2)
+        if span and row["write"] and span[0] < span[1]:
+            self.wrap(span, row["write"])
+            self.changes["type_wrap", name, row["write"], "type_conversion"] += 1
+        if form:
+            self.changes["type_wrap", name, form, "type_conversion"] += 1
+            return form.replace("{src}", text)
+        return text
+
+
+def rewrite(sql: str, m: Mapping, shown: str | None = None) -> dict:
+    """G1 to G12 for one statement: to_be_sql, status, changes and warnings. `shown` is the text that is changed where sql is
+    read; both have the same places (see rewrite_mapper).
+
+    Only tokens are replaced, so that layout, comments, literals and placeholders stay. Names are looked up as they were.
+    A bare column counts if just one table of the statement maps it. Values in comparisons and IN lists are mapped;
+    converted columns are wrapped: by `write` what SET assigns and what INSERT's values give, by `where_` in conditions, by
+    `read` in projections. Split columns are put together in projections where the mapping tells how. What else is
+    split, merged or mapped twice, and joins of tables to split or merge, is left as it is and needs help.
+    """
+    if not sql or not sql.strip():
+        return {"to_be_sql": sql, "status": "PARSE_FAIL", "changes": [], "warnings": ["empty statement"]}
+    work = Rewriter(sql, m)
+    work.run()
     out = sql if shown is None else shown
-    for at, n, text in sorted(edits, key=lambda e: (e[0], e[1]), reverse=True):
+    for at, n, text in sorted(work.edits, key=lambda e: (e[0], e[1]), reverse=True):
         out = out[:at] + text + out[at + n :]
     return {
         "to_be_sql": out,
-        "status": "NEEDS_LLM" if help_ else "AUTO_WARN" if warnings else "AUTO",
-        "changes": [{"kind": k, "as_is": a, "to_be": b, "n": n, "transformer": f} for (k, a, b, f), n in sorted(changes.items())],
-        "warnings": warnings,
+        "status": "NEEDS_LLM" if work.help else "AUTO_WARN" if work.warnings else "AUTO",
+        "changes": [{"kind": k, "as_is": a, "to_be": b, "n": n, "transformer": f} for (k, a, b, f), n in sorted(work.changes.items())],
+        "warnings": work.warnings,
     }
 
 
@@ -256,21 +419,44 @@ def rewrite_mapper(content: str, m: Mapping) -> tuple[str, int, list[str]]:
     return BODY.sub(body, content), changes, warnings
 
 
-def rewritten_files(files: DataFrame, mapping: DataFrame) -> DataFrame:
-    """Path, content, n_changes, warnings of mapper files (path, content). The mapping must be a schema's: of up to
-    MAPPING_ROWS rows it goes to all executors; a larger one is cut to the tables that the files name first."""
-    if mapping.limit(MAPPING_ROWS + 1).count() > MAPPING_ROWS:
-        words = files.select(F.explode(F.array_distinct(F.regexp_extract_all(F.upper("content"), F.lit(r"(\w+)"), F.lit(1)))).alias("as_is_table")).distinct()
-        mapping = mapping.join(words, "as_is_table", "left_semi")
-    shared = files.sparkSession.sparkContext.broadcast([r.asDict() for r in mapping.collect()])
+def rewritten_files(files: DataFrame, mapping: DataFrame, most: int = MAPPING_ROWS) -> DataFrame:
+    """Path, content, n_changes, warnings of mapper files (path, content). A mapping of up to `most` rows goes to all
+    executors; of a larger one, the rows of the tables whose names stand in a file are joined to it. Both ways give the same
+    result."""
+    schema = "path string, content string, n_changes bigint, warnings array<string>"
+    own = files.select("path", "content")
 
-    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        m = Mapping.of(shared.value)
+    def done(b: pd.DataFrame, got: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame({"path": b["path"], "content": [g[0] for g in got], "n_changes": [g[1] for g in got], "warnings": [g[2] for g in got]})
+
+    if mapping.limit(most + 1).count() <= most:
+        shared = files.sparkSession.sparkContext.broadcast([r.asDict() for r in mapping.collect()])
+
+        def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            m = Mapping.of(shared.value)
+            for b in batches:
+                yield done(b, [rewrite_mapper(c, m) if c else (c, 0, []) for c in b["content"]])
+
+        return own.mapInPandas(work, schema)
+
+    def alone(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            got = [rewrite_mapper(c, m) if c else (c, 0, []) for c in b["content"]]
-            yield pd.DataFrame({"path": b["path"], "content": [g[0] for g in got], "n_changes": [g[1] for g in got], "warnings": [g[2] for g in got]})
+            yield done(b, [rewrite_mapper(c, Mapping.of(as_rows(rows))) if c else (c, 0, []) for c, rows in zip(b["content"], b["rows"], strict=True)])
+
+    words = own.select("path", F.explode(F.array_distinct(F.regexp_extract_all(F.upper("content"), F.lit(r"(\w+)"), F.lit(1)))).alias("as_is_table"))
+    relevant = words.join(mapping, "as_is_table").groupBy("path").agg(F.collect_set(F.struct(*mapping_columns(mapping))).alias("rows"))
+    whole = own.join(relevant, own["path"].eqNullSafe(relevant["path"]), "left").select(own["path"], "content", F.coalesce("rows", F.array().cast(relevant.schema["rows"].dataType)).alias("rows"))
+    return whole.mapInPandas(alone, schema)
+
 
-    return files.select("path", "content").mapInPandas(work, "path string, content string, n_changes bigint, warnings array<string>")
+def mapping_columns(mapping: DataFrame) -> list[Column]:
+    """A mapping's columns; a map as its entries, which can be compared."""
+    return [F.map_entries(c).alias(c) if t.startswith("map") else F.col(c) for c, t in mapping.dtypes]
+
+
+def as_rows(rows: list) -> list[dict]:
+    """Rows that came as structs, as Mapping.of takes them."""
+    return [dict(r, value_map={e["key"]: e["value"] for e in r["value_map"]} if r["value_map"] is not None else None) for r in rows]
 
 
 def literals_beside(r: sqltext.Reader, i: int) -> list[int]:
@@ -326,12 +512,12 @@ def rewritten(statements: DataFrame, mapping: DataFrame, most: int = MAPPING_ROW
 
     def alone(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            got = [rewrite(q, Mapping.of([dict(r, value_map=dict(r["value_map"]) if r["value_map"] is not None else None) for r in rows])) for q, rows in zip(b["sql"], b["rows"], strict=True)]
+            got = [rewrite(q, Mapping.of(as_rows(rows))) for q, rows in zip(b["sql"], b["rows"], strict=True)]
             yield pd.concat([b[["sql"]], pd.DataFrame(got, columns=["to_be_sql", "status", "changes", "warnings"], index=b.index)], axis=1)
 
     texts = own.select("sql").distinct()
     uses = texts.mapInPandas(named, "sql string, as_is_table string")
-    relevant = uses.join(mapping, "as_is_table").groupBy("sql").agg(F.collect_list(F.struct(*mapping.columns)).alias("rows"))
+    relevant = uses.join(mapping, "as_is_table").groupBy("sql").agg(F.collect_set(F.struct(*mapping_columns(mapping))).alias("rows"))
     whole = texts.join(relevant, texts["sql"].eqNullSafe(relevant["sql"]), "left").select(texts["sql"], F.coalesce("rows", F.array().cast(relevant.schema["rows"].dataType)).alias("rows"))
     done = whole.mapInPandas(alone, "sql string, " + REWRITTEN)
     return own.join(done, own["sql"].eqNullSafe(done["sql"]), "left").select(own["mapper"], own["id"], own["type"], own["sql"], "to_be_sql", "status", "changes", "warnings")
@@ -413,5 +599,68 @@ def mapped_values(df: DataFrame, column: str, pairs: dict[str, str], default: st
 
 
 def commented(sql: Column, notes: Column) -> Column:
-    """A statement under a comment with its notes (an array), where there are any."""
+    """A statement under a comment with its notes (an array), where there are any."""
     return F.when(F.size(notes) > 0, F.concat(F.lit("/* "), F.array_join(notes, "; "), F.lit(" */\n"), sql)).otherwise(sql)
+
+
+#: Where G25 puts comments, and the clauses that stand for it.
+SCOPES = {"select": ("SELECT",), "update": ("SET",), "insert": ("INTO",), "where": ("WHERE", "HAVING"), "join": ("ON",)}
+#: The sources of column comments, in the order in which they win, by policy.
+POLICIES = {"mapping": ("mapping",), "mapping_first": ("mapping", "terms", "schema"), "to_be_schema": ("schema",), "terms_dictionary": ("terms",), "both": ("terms", "schema")}
+
+
+def comment_sources(sources: dict[str, DataFrame], policy: str = "mapping_first") -> DataFrame:
+    """table_name, column_name, comment by a policy: of the sources it names (mapping, terms, schema: each table_name,
+    null for any, column_name, comment) the first that has one counts. Blank comments are none."""
+    out = None
+    for rank, name in enumerate(POLICIES[policy]):
+        if name in sources:
+            one = sources[name].select(F.upper("table_name").alias("table_name"), F.upper("column_name").alias("column_name"), "comment").filter("trim(comment) <> ''").withColumn("rank", F.lit(rank))
+            out = one if out is None else out.unionByName(one)
+    if out is None:
+        raise ValueError(f"no source for {policy}")
+    return out.groupBy("table_name", "column_name").agg(F.min(F.struct("rank", "comment"))["comment"].alias("comment"))
+
+
+def annotate(sql: str, notes: dict[tuple[str, str], str], scopes: tuple[str, ...] = ("select", "update", "insert")) -> str:
+    """Sql with a comment behind each column of the scopes that has one, by its table, else by its bare name."""
+    if not sql or not sql.strip():
+        return sql
+    x = Text(sql)
+    clauses = {c for s in scopes for c in SCOPES.get(s, ())}
+    known = Mapping(tables=dict.fromkeys(x.s.tables, ""), columns={k: {} for k in notes})
+    edits = []
+    for p in x.columns(known):
+        scope_ok = "insert" in scopes if p.listed else p.clause in clauses and (p.clause != "SET" or x.r.op(p.at + 1) == "=")
+        if scope_ok and (note := notes.get((p.table or "", p.column)) or notes.get(("", p.column))):
+            edits.append((x.end(p.at), note.replace("*/", "* /")))
+    for at, note in sorted(edits, reverse=True):
+        sql = f"{sql[:at]} /* {note} */{sql[at:]}"
+    return sql
+
+
+def annotated(statements: DataFrame, comments: DataFrame, scopes: tuple[str, ...] = ("select", "update", "insert")) -> DataFrame:
+    """Statements (mapper, id, type, sql) with column comments (table_name, null for any, column_name, comment). The
+    comments of the columns that a statement's words name are joined to it, so that no dictionary must fit in memory."""
+    own = statements.select("mapper", "id", "type", "sql")
+    texts = own.select("sql").filter("sql is not null").distinct()
+    words = texts.select("sql", F.explode(F.array_distinct(F.regexp_extract_all(F.upper("sql"), F.lit(r"(\w+)"), F.lit(1)))).alias("column_name"))
+    notes = words.join(comments, "column_name").groupBy("sql").agg(F.collect_set(F.struct(F.coalesce("table_name", F.lit("")).alias("t"), F.col("column_name").alias("c"), F.col("comment").alias("n"))).alias("notes"))
+
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame({"sql": b["sql"], "commented": [annotate(q, {(r["t"], r["c"]): r["n"] for r in sorted(n, key=lambda r: r["n"], reverse=True)}, scopes) for q, n in zip(b["sql"], b["notes"], strict=True)]})
+
+    done = notes.mapInPandas(work, "sql string, commented string")
+    return own.join(done, "sql", "left").select("mapper", "id", "type", F.coalesce("commented", "sql").alias("sql"))
+
+
+def statement_hits(read_: DataFrame, mapping: DataFrame) -> DataFrame:
+    """Mapper, id, as_is_table, as_is_column, to_be, kind: each mapped column that a statement names, and, with a null
+    column, each mapped table."""
+    target = F.when(F.col("to_be_column").isNotNull(), F.concat_ws(".", "to_be_table", "to_be_column")).otherwise("<dropped>")
+    columns = references(read_).toDF("mapper", "id", "as_is_table", "as_is_column").join(mapping.select("as_is_table", "as_is_column", target.alias("to_be"), "kind"), ["as_is_table", "as_is_column"])
+    used = read_.select("mapper", "id", F.explode("tables").alias("t")).select("mapper", "id", F.col("t.name").alias("as_is_table"))
+    tables = mapping.groupBy("as_is_table").agg(F.coalesce(F.min("to_be_table"), F.lit("<dropped>")).alias("to_be"))
+    hits = used.join(tables, "as_is_table").select("mapper", "id", "as_is_table", F.lit(None).cast("string").alias("as_is_column"), "to_be", F.lit("table").alias("kind"))
+    return hits.unionByName(columns.select("mapper", "id", "as_is_table", "as_is_column", "to_be", "kind"))
