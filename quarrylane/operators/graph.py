@@ -116,6 +116,14 @@ def attached_hubs(edges: DataFrame, members: DataFrame, hub: DataFrame) -> DataF
     return h.join(members, "node").select("component", F.col("other").alias("node")).distinct()
 
 
+def group_joins(joins: DataFrame, members: DataFrame, hub: DataFrame) -> DataFrame:
+    """Component and the columns of joins (table1, table2 and more) whose tables both are among a component's nodes or
+    the hubs attached to it (component, node)."""
+    inside = members.select("component", "node").unionByName(hub.select("component", "node")).distinct()
+    left = joins.join(inside.withColumnRenamed("node", "table1"), "table1")
+    return left.join(inside.withColumnRenamed("node", "table2"), ["component", "table2"]).select("component", *joins.columns)
+
+
 def chunks(nodes: DataFrame, size: int, key: str = "node") -> DataFrame:
     """Key, chunk: nodes in order, size by size. Numbered without a single sorted task: by range partitions, whose
     counts give each its first number."""
@@ -189,7 +197,7 @@ def reachable(edges: DataFrame, starts: DataFrame, most: int = 8) -> DataFrame:
 
     Each round joins the frontier with the edges and drops what was seen; the frontier is cut in the shared folder.
     """
-    steps = edges.select(F.col("src"), F.col("dst")).distinct()
+    steps = cut(edges.select(F.col("src"), F.col("dst")).distinct())
     seen = cut(starts.select(F.col("node").alias("start"), "node", F.lit(0).alias("hops")).distinct())
     front = seen
     for hop in range(1, most + 1):

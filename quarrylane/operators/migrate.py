@@ -558,15 +558,56 @@ def schema_mismatch(mapping: DataFrame, columns: DataFrame) -> DataFrame:
     return lacking.unionByName(s.join(mapped_tables, "as_is_table", "left_semi").join(m, ["as_is_table", "as_is_column"], "left_anti").select(F.lit("NOT_MAPPED").alias("code"), place))
 
 
-def static_issues(read_: DataFrame, schema: DataFrame) -> DataFrame:
-    """Mapper, id, level, code, place: tables and columns of statements that a schema (table_name, column_name) lacks,
-    by anti joins. DUAL and pseudo-columns are exempt."""
-    tables = read_.select("mapper", "id", F.explode("tables").alias("t")).select("mapper", "id", F.col("t.name").alias("table_name")).filter("table_name <> 'DUAL'")
-    known = schema.select("table_name").distinct()
-    a = tables.join(known, "table_name", "left_anti").select("mapper", "id", F.lit("error").alias("level"), F.lit("UNKNOWN_TABLE").alias("code"), F.col("table_name").alias("place"))
-    cols = references(read_).filter(~F.col("column_name").isin(*sorted(PSEUDO_COLUMNS))).join(known, "table_name", "left_semi")
-    b = cols.join(schema.select("table_name", "column_name").distinct(), ["table_name", "column_name"], "left_anti")
-    return a.unionByName(b.select("mapper", "id", F.lit("error").alias("level"), F.lit("UNKNOWN_COLUMN").alias("code"), F.concat_ws(".", "table_name", "column_name").alias("place")))
+NAMED = "fault string, refs array<struct<qualifier: string, table_name: string, column_name: string, derived: boolean>>, names array<string>, withs boolean"
+
+
+def named(statements: DataFrame) -> DataFrame:
+    """mapper, id, why a statement can't be read, the columns it names anywhere, its tables, and whether it has WITH
+    queries; every distinct text of a batch is read once. Placeholders of mapper files are no columns."""
+
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            known: dict[str | None, tuple] = {}
+            for q in b["sql"].unique():
+                why = sqltext.fault(q)
+                refs = [] if why else [dict(zip(("qualifier", "table_name", "column_name", "derived"), x, strict=True)) for x in sqltext.references(q)]
+                r = sqltext.Reader(q or "")
+                known[q] = (why, refs, list(r.read().tables) if not why else [], bool(r.ctes))
+            got = pd.DataFrame([known[q] for q in b["sql"]], columns=["fault", "refs", "names", "withs"], index=b.index)
+            yield pd.concat([b[["mapper", "id"]], got], axis=1)
+
+    return statements.select("mapper", "id", "sql").mapInPandas(work, "mapper string, id string, " + NAMED)
+
+
+def static_issues(statements: DataFrame, schema: DataFrame) -> DataFrame:
+    """Mapper, id, level, code, place: what is wrong with statements (mapper, id, sql) by a schema (table_name,
+    column_name), by joins.
+
+    Errors: PARSE_FAIL (place says why; nothing else is reported), UNKNOWN_TABLE, UNKNOWN_COLUMN (of a known table, or a bare
+    one that no table of the statement has). Warnings: UNRESOLVED_QUALIFIER (no table or alias), UNRESOLVED_COLUMN (a bare
+    column that may come from a WITH query), AMBIGUOUS_COLUMN (bare, in several tables). DUAL, WITH queries,
+    sub-queries and pseudo-columns are exempt. Each place is reported once a statement.
+    """
+    own = named(statements)
+    columns = schema.select("table_name", "column_name").distinct()
+    known = columns.select("table_name").distinct()
+    row = lambda level, code, place: [F.lit(level).alias("level"), F.lit(code).alias("code"), place.alias("place")]
+    broken = own.filter("fault is not null").select("mapper", "id", *row("error", "PARSE_FAIL", F.col("fault")))
+    tables = own.select("mapper", "id", F.explode("names").alias("table_name")).filter("table_name <> 'DUAL'")
+    lacking = tables.join(known, "table_name", "left_anti").select("mapper", "id", *row("error", "UNKNOWN_TABLE", F.col("table_name")))
+    refs = own.select("mapper", "id", "names", "withs", F.explode("refs").alias("r")).select("mapper", "id", "names", "withs", "r.*").filter(~F.col("column_name").isin(*sorted(PSEUDO_COLUMNS)))
+    qualified = refs.filter("qualifier <> '' and not derived")
+    strange = qualified.filter("table_name = ''").select("mapper", "id", *row("warning", "UNRESOLVED_QUALIFIER", F.concat_ws(".", "qualifier", "column_name")))
+    absent = qualified.join(known, "table_name", "left_semi").join(columns, ["table_name", "column_name"], "left_anti").select("mapper", "id", *row("error", "UNKNOWN_COLUMN", F.concat_ws(".", "table_name", "column_name")))
+    # a bare column by the tables of its statement that have it
+    bare = refs.filter("qualifier = ''").select("mapper", "id", "withs", "column_name", F.explode_outer("names").alias("table_name"))
+    held = bare.join(columns.withColumn("has", F.lit(1)), ["table_name", "column_name"], "left").groupBy("mapper", "id", "withs", "column_name").agg(F.count("has").alias("n"))
+    none = held.filter("n = 0").select("mapper", "id", F.when(F.col("withs"), "warning").otherwise("error").alias("level"), F.when(F.col("withs"), "UNRESOLVED_COLUMN").otherwise("UNKNOWN_COLUMN").alias("code"), F.col("column_name").alias("place"))
+    many = held.filter("n > 1").select("mapper", "id", *row("warning", "AMBIGUOUS_COLUMN", F.col("column_name")))
+    out = broken
+    for x in (lacking, strange, absent, none, many):
+        out = out.unionByName(x)
+    return out.distinct()
 
 
 def coverage(mapping: DataFrame, changes: DataFrame) -> DataFrame:

@@ -45,6 +45,8 @@ class Scope:
     aliases: dict[str, str] = field(default_factory=dict)
     derived: set[str] = field(default_factory=set)
     tables: list[tuple[str, str]] = field(default_factory=list)
+    first: str | None = None
+    """The first table of FROM's list."""
 
     def resolve(self, name: str) -> str | None:
         """The table that a qualifier names, None for a derived one or an unknown one."""
@@ -89,6 +91,8 @@ class Reader:
         self.out = Statement()
         self.scopes: dict[int, Scope] = {}
         self.ctes: set[str] = set()
+        self.named: set[int] = set()
+        """The tokens that name a table, or give an alias."""
 
     def word(self, i: int) -> str:
         return self.t[i].text if 0 <= i < len(self.t) and self.t[i].kind == "word" else ""
@@ -169,6 +173,7 @@ class Reader:
             i = j + 1
         elif self.word(i) and self.word(i) not in CLAUSES:
             name, i = self.word(i), i + 1
+            self.named.add(i - 1)
         else:
             return None, i
         alias = ""
@@ -176,6 +181,8 @@ class Reader:
             alias, i = self.word(i + 1), i + 2
         elif self.word(i) not in CLAUSES | {""} and "." not in self.word(i):
             alias, i = self.word(i), i + 1
+        if alias:
+            self.named.add(i - 1)
         if sub:
             if alias:
                 scope.derived.add(alias)
@@ -187,6 +194,8 @@ class Reader:
         first = True
         while True:
             name, i = self.operand(i, scope, role, inner)
+            if not joined and not scope.first:
+                scope.first = name
             if name:
                 scope.tables.append((name, role))
                 if joined or not first:
@@ -254,14 +263,14 @@ class Reader:
         return ("" if table in KEYWORDS else table), names
 
     def main_table(self) -> None:
-        """The target of a write, else the first table outside all parentheses."""
+        """The target of a write, else the first table behind FROM outside all parentheses."""
         for role in ("insert", "update", "delete"):
             got = [t for t, roles in self.out.tables.items() if role in roles]
             if got:
                 self.out.main = got[0]
                 return
-        if (scope := self.scopes.get(0)) and scope.tables:
-            self.out.main = scope.tables[0][0]
+        if scope := self.scopes.get(0):
+            self.out.main = scope.first
 
     def crud_letters(self) -> None:
         """Letters of the body's keywords, in the order C, R, U, D; a row lock isn't an update."""
@@ -312,11 +321,85 @@ class Reader:
             q, _, c = self.word(a).rpartition(".")
             if c == "*":
                 continue
-            table = (top.resolve(last(q)) or last(q)) if q else (next(iter(named)) if len(named) == 1 else "")
-            if table and table not in top.derived:
+            table = (top.resolve(last(q)) or last(q)) if q else (next(iter(named)) if len(named) == 1 and not self.ctes else "")
+            if table and table not in top.derived and table not in self.ctes:
                 out.append((table, c, "R"))
 
 
+#: Words behind which a bare word is an alias although they are keywords.
+OPERANDS = frozenset("END SYSDATE SYSTIMESTAMP ROWNUM NULL".split())
+#: Words that are never columns, beyond CLAUSES.
+WORDS = frozenset("PRIOR ESCAPE NOWAIT OF NULLS LAST SIBLINGS WITHIN INTERVAL DATE TIMESTAMP YEAR MONTH DAY HOUR MINUTE SECOND CAST PRECEDING FOLLOWING UNBOUNDED CURRENT ROW RANGE KEEP LOG ERRORS".split())
+
+
+#: Words of which a statement that names columns has one; blocks and calls have none.
+DATA = frozenset("SELECT INSERT UPDATE DELETE MERGE".split())
+
+
+def references(sql: str | None) -> list[tuple[str, str, str, bool]]:
+    """Each column that sql names, wherever: qualifier, the table it stands for ('' if none is known), column, and whether
+    the qualifier names a sub-query or WITH query."""
+    if not sql or not sql.strip():
+        return []
+    r = Reader(sql)
+    if not any(r.word(i) in DATA for i in range(len(r.t))):
+        return []
+    r.read()
+    scope, out = Scope(0), []
+    for i in range(len(r.t)):
+        scope = r.scopes.get(i, scope)
+        w = r.word(i)
+        if not w or i in r.named or w in CLAUSES or w in WORDS or w in r.ctes or w[0].isdigit() or r.op(i + 1) == "(" or r.word(i - 1) == "AS":
+            continue
+        before = r.t[i - 1] if i else None
+        operand = before is not None and (before.kind in ("string", "bind", "outer") or before.text == ")" or before.kind == "word" and (before.text not in CLAUSES | WORDS or before.text in OPERANDS))
+        if operand and "." not in w:
+            continue
+        q, _, c = w.rpartition(".")
+        q = last(q)
+        if c == "*":
+            continue
+        derived, s = False, scope
+        while q and s and not derived:
+            if q in s.aliases and q not in s.derived:
+                break
+            derived, s = q in s.derived or q in r.ctes, s.parent
+        out.append((q, (scope.resolve(q) or "") if q else "", c, derived))
+    return list(dict.fromkeys(out))
+
+
+# What a statement may begin with.
+VERBS = frozenset("SELECT INSERT UPDATE DELETE MERGE WITH CALL BEGIN DECLARE EXEC EXECUTE CREATE ALTER DROP TRUNCATE".split())
+#: Words that something must follow.
+OPEN_ENDS = frozenset("SELECT FROM WHERE AND OR ON SET INTO JOIN BY IN HAVING USING NOT LIKE BETWEEN VALUES UPDATE".split())
+
+
+def fault(sql: str | None) -> str | None:
+    """Why sql can't be read as a statement, None if nothing is seen: no verb, open quotes or parentheses, an item missing
+    behind a comma or a word, or something behind the end."""
+    if not sql or not sql.strip():
+        return "empty statement"
+    t = tokens(sql)
+    if not t:
+        return "empty statement"
+    first = next((x for x in t if x.text not in ("(", "{", "?", "=")), t[0])
+    if first.text not in VERBS:
+        return f"no statement begins with {first.text}"
+    depth = 0
+    for i, x in enumerate(t):
+        if x.kind == "string" and (len(x.text) < 2 or not x.text.endswith("'")):
+            return "open quote"
+        depth += (x.kind == "op" and x.text == "(") - (x.kind == "op" and x.text == ")")
+        if depth < 0:
+            return "closing parenthesis without an opening one"
+        after = t[i + 1] if i + 1 < len(t) else None
+        if x.kind == "op" and x.text == "," and (after is None or after.text in (",", ")", "FROM", "WHERE", "SET")):
+            return "nothing behind a comma"
+        if x.kind == "word" and x.text in OPEN_ENDS and not (x.text == "UPDATE" and i and t[i - 1].text == "FOR") and (after is None or after.text in (")", ",") or after.text in ("FROM", "WHERE", "GROUP", "ORDER") and x.text != "NOT"):
+            return f"nothing behind {x.text}"
+    return "open parenthesis" if depth else None
+
+
 def read(sql: str | None) -> Statement:
     """What sql uses; an empty statement uses nothing."""
     return Reader(sql).read() if sql and sql.strip() else Statement()

@@ -114,15 +114,20 @@ def ordinal(statements: DataFrame) -> Column:
     return F.struct("mapper", "id")
 
 
+def _edge_sides(read_: DataFrame) -> DataFrame:
+    each = read_.select("mapper", "id", F.posexplode("joins").alias("pos", "j")).select("mapper", "id", "pos", "j.*")
+    a, b = (F.struct(F.col(f"table{k}").alias("t"), F.col(f"column{k}").alias("c")) for k in (1, 2))
+    return each.withColumn("a", F.least(a, b)).withColumn("b", F.greatest(a, b))
+
+
 def join_edges(read_: DataFrame, sources: int = 1000) -> DataFrame:
     """Each pair of joined columns once, whichever way round it was written.
 
     The first statement, by mapper, id and place, gives direction and join type. n_sources counts all statements,
-    sources lists the first `sources` of them in order: the list is cut before it is gathered.
+    sources lists the first `sources` of them in order, which is for display: the list is cut before it is gathered.
+    edge_sources has all of them.
     """
-    each = read_.select("mapper", "id", F.posexplode("joins").alias("pos", "j")).select("mapper", "id", "pos", "j.*")
-    a, b = (F.struct(F.col(f"table{k}").alias("t"), F.col(f"column{k}").alias("c")) for k in (1, 2))
-    keyed = each.withColumn("a", F.least(a, b)).withColumn("b", F.greatest(a, b))
+    keyed = _edge_sides(read_)
     first = keyed.groupBy("a", "b").agg(F.min_by(F.struct("table1", "column1", "table2", "column2", "join_type"), F.struct("mapper", "id", "pos")).alias("e"))
     who = keyed.select("a", "b", F.concat_ws("#", "mapper", "id").alias("source"), "mapper", "id").distinct()
     ranked = who.withColumn("r", F.row_number().over(W.Window.partitionBy("a", "b").orderBy("mapper", "id"))).filter(F.col("r") <= sources)
@@ -131,6 +136,12 @@ def join_edges(read_: DataFrame, sources: int = 1000) -> DataFrame:
     return first.join(counts, ["a", "b"]).join(listed, ["a", "b"]).select("e.*", "n_sources", "sources")
 
 
+def edge_sources(read_: DataFrame) -> DataFrame:
+    """side_a, side_b, mapper, id: every statement of every pair of joined columns, a row each; the sides in order."""
+    side = lambda s: F.concat_ws(".", F.col(f"{s}.t"), F.col(f"{s}.c"))
+    return _edge_sides(read_).select(F.least(side("a"), side("b")).alias("side_a"), F.greatest(side("a"), side("b")).alias("side_b"), "mapper", "id").distinct()
+
+
 def table_usage(read_: DataFrame) -> DataFrame:
     """For each table the statements that use it by type, as main table, as joined table, and the mappers."""
     t = read_.select("mapper", "id", F.lower("type").alias("type"), "main_table", F.explode("tables").alias("t"))
@@ -144,6 +155,14 @@ def table_usage(read_: DataFrame) -> DataFrame:
     )
 
 
+def usage_lists(read_: DataFrame) -> DataFrame:
+    """table_name, mappers (each once, in order), mapper_first (the first statement) and n_statements. The statements
+    themselves are rows of table_crud; a list of them would have no bound."""
+    t = read_.select("mapper", "id", F.explode("tables.name").alias("table_name"))
+    by_mapper = t.groupBy("table_name", "mapper").agg(F.count("*").alias("n"), F.min(F.concat_ws("#", "mapper", "id")).alias("first"))
+    return by_mapper.groupBy("table_name").agg(F.array_join(F.array_sort(F.collect_list("mapper")), ",").alias("mappers"), F.min("first").alias("mapper_first"), F.sum("n").alias("n_statements"))
+
+
 def known_edges(edges: DataFrame, tables: DataFrame) -> DataFrame:
     """The edges of which both tables are in tables (table_name)."""
     names = tables.select("table_name").distinct()
@@ -163,7 +182,7 @@ def rolled_up(crud: DataFrame, by: list[str]) -> DataFrame:
 
 
 def merged_corpora(corpora: dict[str, DataFrame]) -> DataFrame:
-    """Several corpora as one, each statement with its source_dir. All column pairs are kept."""
+    """Several corpora as one, each statement with its source_dir."""
     out = None
     for name, df in corpora.items():
         one = df.withColumn("source_dir", F.lit(name))
@@ -173,6 +192,33 @@ def merged_corpora(corpora: dict[str, DataFrame]) -> DataFrame:
     return out
 
 
+def merged_edges(merged: DataFrame) -> DataFrame:
+    """The pairs of joined columns of several corpora (source_dir, and what read gives), each once, with the folders
+    that have it and the number of its statements in each order of columns. All column pairs are kept."""
+    sides = _edge_sides(merged.select(F.struct("source_dir", "mapper").alias("m"), "id", "joins").select(F.col("m.source_dir").alias("mapper"), F.concat_ws("#", "m.mapper", "id").alias("id"), "joins"))
+    by_dir = sides.groupBy("a", "b", F.col("mapper").alias("dir")).agg(F.count_distinct("id").alias("n"), F.min_by(F.struct("table1", "column1", "table2", "column2", "join_type"), F.struct("id", "pos")).alias("e"))
+    return by_dir.groupBy("a", "b").agg(F.min_by("e", "dir").alias("e"), F.array_join(F.array_sort(F.collect_list("dir")), ",").alias("source_dirs"), F.sum("n").alias("n_statements")).select("e.*", "source_dirs", "n_statements")
+
+
+def merged_usage(merged: DataFrame) -> DataFrame:
+    """table_name, as_main_count, as_join_count over all corpora, n_dirs."""
+    t = merged.select("source_dir", "main_table", F.explode("tables").alias("t"))
+    main = F.col("t.name").eqNullSafe(F.col("main_table"))
+    return t.groupBy(F.col("t.name").alias("table_name")).agg(F.count(F.when(main, 1)).alias("as_main_count"), F.count(F.when(F.col("t.joined") & ~main, 1)).alias("as_join_count"), F.count_distinct("source_dir").alias("n_dirs"))
+
+
+def corpus_totals(statements: DataFrame) -> DataFrame:
+    """n_mappers, n_statements, and the statements of each type of a corpus."""
+    kinds = ("select", "insert", "update", "delete", "procedure", "merge")
+    return statements.agg(F.count_distinct("mapper").alias("n_mappers"), F.count("*").alias("n_statements"), *[F.count(F.when(F.lower("type") == k, 1)).alias(f"n_{k}") for k in kinds])
+
+
+def statement_index(read_: DataFrame) -> DataFrame:
+    """Key (namespace.id as mapper#id), tables, crud, procedures of each statement, for look-ups by key."""
+    letters = F.array_join(F.filter(F.array(*map(F.lit, "CRUD")), lambda x: F.array_contains("letters", x)), "")
+    return read_.select(F.concat_ws("#", "mapper", "id").alias("key"), F.array_join(F.array_sort("tables.name"), ",").alias("tables"), letters.alias("crud"), F.array_join("procedures", ",").alias("procedures"))
+
+
 def lint(statements: DataFrame) -> DataFrame:
     """Mapper, id, type, rule, severity: each rule at most once a statement.
 

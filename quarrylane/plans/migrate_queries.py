@@ -106,13 +106,10 @@ def g10_value_map(spark: SparkSession, sf_dir: str) -> DataFrame:
 G10 = "SELECT CASE o_orderstatus WHEN 'F' THEN 'DONE' WHEN 'O' THEN 'OPEN' ELSE CASE WHEN o_orderstatus IS NOT NULL THEN 'OTHER' END END AS o_orderstatus, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders GROUP BY 1"
 
 
-def g14_static(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What the statements name that the catalog lacks."""
-    return mig.static_issues(mined(spark, sf_dir), catalog_columns(spark, sf_dir).select("table_name", "column_name"))
-
-
 def g14_unknown_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return g14_static(spark, sf_dir).filter("code = 'UNKNOWN_TABLE'").select("mapper", "id", "place")
+    """The tables of the statements that the catalog lacks."""
+    found = mig.static_issues(statements(spark, sf_dir), catalog_columns(spark, sf_dir).select("table_name", "column_name"))
+    return found.filter("code = 'UNKNOWN_TABLE'").select("mapper", "id", "place")
 
 
 def g17_impact(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -132,10 +129,6 @@ G17C = f"""
 WITH r AS (SELECT DISTINCT mapper, id, table_name, column_name FROM ({B5}))
 SELECT m.as_is_table, m.as_is_column, coalesce(m.to_be_table || '.' || m.to_be_column, '<dropped>') AS to_be, count(r.id) AS n_statements
 FROM {MAP} m LEFT JOIN r ON r.table_name = m.as_is_table AND r.column_name = m.as_is_column GROUP BY ALL"""
-G14 = f"""
-WITH t AS ({B3}), r AS (SELECT DISTINCT mapper, id, table_name, column_name FROM ({B5}))
-SELECT mapper, id, 'error' AS level, 'UNKNOWN_TABLE' AS code, table_name AS place FROM t WHERE table_name NOT IN (SELECT table_name FROM column_rec)
-UNION ALL SELECT mapper, id, 'error', 'UNKNOWN_COLUMN', table_name || '.' || column_name FROM (SELECT * FROM r WHERE table_name IN (SELECT table_name FROM column_rec)) ANTI JOIN (SELECT DISTINCT table_name, column_name FROM column_rec) USING (table_name, column_name)"""
 
 
 def g18_mismatch(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -201,7 +194,7 @@ B18 = f"SELECT mapper, id, string_agg(table_name || '(' || crud || ')', ', ' ORD
 QUERIES = {
     f.__name__: f
     for f in (
-        a14_mapper_statements, a27_flat_mapping, b18_statement_crud, b20_paths, g1_rewrite, g3_changes, g10_value_map, g14_static, g14_unknown_tables, g17_impact, g17_column_impact, g18_mismatch, g19_violations, g20_schema,
+        a14_mapper_statements, a27_flat_mapping, b18_statement_crud, b20_paths, g1_rewrite, g3_changes, g10_value_map, g14_unknown_tables, g17_impact, g17_column_impact, g18_mismatch, g19_violations, g20_schema,
         g21_coverage, g22_rates, g24_conversions,
     )
 }
@@ -209,6 +202,6 @@ SQL = {
     "a14_mapper_statements": f"SELECT * FROM {values_sql('path string, namespace string, id string, type string, sql string', STATEMENT_ROWS)}",
     "a27_flat_mapping": f"SELECT as_is_table, as_is_column, as_is_type, to_be_table, to_be_column, to_be_type FROM {MAP}", "b18_statement_crud": B18,
     "b20_paths": f"SELECT * FROM {values_sql('id string, path_no int, label string, sql string', PATH_ROWS)}",
-    "g10_value_map": G10, "g14_unknown_tables": f"SELECT mapper, id, table_name AS place FROM ({B3}) WHERE table_name NOT IN (SELECT table_name FROM column_rec)", "g17_impact": G17, "g17_column_impact": G17C, "g14_static": G14, "g18_mismatch": G18, "g19_violations": G19, "g20_schema": G20,
+    "g10_value_map": G10, "g14_unknown_tables": f"SELECT mapper, id, table_name AS place FROM ({B3}) WHERE table_name NOT IN (SELECT table_name FROM column_rec)", "g17_impact": G17, "g17_column_impact": G17C, "g18_mismatch": G18, "g19_violations": G19, "g20_schema": G20,
     "g24_conversions": f"SELECT * FROM {values_sql('as_is_type string, to_be_type string, where_form string', PAIR_ROWS)}",
 }

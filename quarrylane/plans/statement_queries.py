@@ -163,10 +163,6 @@ def c1_degree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.degrees(edges(spark, sf_dir))
 
 
-def c2_hubs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.hubs(edges(spark, sf_dir), threshold=2)
-
-
 def c3_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.components(edges(spark, sf_dir))
 
@@ -184,12 +180,6 @@ def c4_bounded_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.bounded_groups(e, graph.components(e), size=5)
 
 
-def c5_hub_reattach(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = cut(edges(spark, sf_dir))
-    h = graph.hubs(e, threshold=2)
-    return graph.attached_hubs(e, graph.components(e, without=h), h)
-
-
 def c6_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The catalog's tables that no statement joins, thirty by thirty."""
     own = catalog_columns(spark, sf_dir).select(F.col("table_name").alias("node")).distinct()
@@ -247,29 +237,16 @@ SELECT least(table1, table2) AS table_a, greatest(table1, table2) AS table_b,
   array_to_string(list_sort(list(DISTINCT join_type)), ' / ') AS join_types, count(*) AS n_joins FROM ({B10}) GROUP BY ALL"""
 
 
-def c14_reach(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What is joined with TB_CMN_CHGLOG's neighbours and theirs, up to eight hops along the joins."""
-    e = graph.both_ways(edges(spark, sf_dir)).toDF("src", "dst")
-    starts = e.groupBy("src").count().filter("count >= 2").select(F.col("src").alias("node"))
-    return graph.reachable(e, starts)
-
-
-C14 = f"""
-WITH RECURSIVE p AS MATERIALIZED (SELECT DISTINCT node, other FROM {PAIRS_SQL}),
-r(start, node, hops) AS (SELECT node, node, 0 FROM p GROUP BY node HAVING count(*) >= 2
-  UNION SELECT r.start, p.other, hops + 1 FROM r JOIN p ON p.node = r.node WHERE hops < 8)
-SELECT start, node, min(hops) AS hops FROM r GROUP BY ALL"""
-
 QUERIES = {
     f.__name__: f
     for f in (
         b1_stripped, a16_cleaned, b2_crud, b3_table_crud, b4_procedures, b5_column_usage, b10_join_edges, b11_usage, b15_binds, b17_crud_rollup, f_lint, f12_worst, f_summary,
-        c1_degree, c2_hubs, c3_components, c4_bounded_groups, c5_hub_reattach, c6_chunks, c7_top3, c8_classify, c10_cardinality, c11_pairs, c14_reach,
+        c1_degree, c3_components, c4_bounded_groups, c6_chunks, c7_top3, c8_classify, c10_cardinality, c11_pairs,
     )
 }
 SQL = {
     "b1_stripped": f"SELECT mapper, id, {NOISE} AS sql FROM {S}", "a16_cleaned": A16, "b2_crud": B2, "b3_table_crud": B3, "b4_procedures": f"SELECT * FROM {values_sql('mapper string, id string, pos int, procedure_name string', CALL_ROWS)}",
     "b5_column_usage": B5, "b10_join_edges": B10, "b11_usage": B11, "b15_binds": B15, "b17_crud_rollup": B17, "f_lint": LINT, "f12_worst": F12,
     "f_summary": f"SELECT rule, severity, count(*) AS hits, count(DISTINCT mapper) AS mappers FROM ({LINT}) GROUP BY ALL",
-    "c1_degree": f"SELECT * FROM {DEGREE}", "c2_hubs": f"SELECT node FROM {DEGREE} WHERE degree >= 2", "c3_components": C3, "c6_chunks": C6, "c7_top3": C7, "c8_classify": C8, "c10_cardinality": C10, "c11_pairs": C11, "c14_reach": C14,
+    "c1_degree": f"SELECT * FROM {DEGREE}", "c3_components": C3, "c6_chunks": C6, "c7_top3": C7, "c8_classify": C8, "c10_cardinality": C10, "c11_pairs": C11,
 }

@@ -61,13 +61,13 @@ def header_row(rows: Rows, required: tuple[str, ...] = ("logical", "physical"),
 
 
 def dictionary(spark: SparkSession, sheets: dict[str, Rows], fields: list[str], required: tuple[str, ...] = ("logical", "physical")) -> DataFrame:
-    """Sheet, row_no and the fields of the sheet that names the most of them; a cover sheet or one without headers is
-    passed over. Blank cells are null, blank rows left out; of two columns for one field the first counts."""
+    """Sheet, row_no and the fields of the sheet that has the required headers and the most rows, the first of several; a
+    cover sheet or one without headers is passed over. Blank cells are null, blank rows left out; of two columns for one field the first counts."""
     best: tuple[int, str, int] | None = None
     for name, rows in sheets.items():
         at = header_row(rows, required)
         if at is not None:
-            n = len({field_of(c) for c in rows[at]} & set(fields))
+            n = sum(any(c not in (None, "") for c in r) for r in rows[at + 1 :])
             if best is None or n > best[0]:
                 best = (n, name, at)
     schema = "sheet string, row_no int, " + ", ".join(f"{f} string" for f in fields)
@@ -162,6 +162,7 @@ def load_mapping(text: str) -> tuple[list[dict], list[str]]:
         return [], [f"not YAML: {e}"]
     rows, wrong = [], []
     tables: dict[str, str | None] = {}
+    kinds: dict[str, str] = {}
     for i, t in enumerate(doc.get("tables") or []):
         kind, a, b = t.get("type", "rename"), t.get("as_is"), t.get("to_be")
         if kind not in ("rename", "split", "merge", "drop") or not a:
@@ -172,7 +173,11 @@ def load_mapping(text: str) -> tuple[list[dict], list[str]]:
             wrong.append(f"tables[{i}]: a split needs two targets")
         else:
             for x in a if isinstance(a, list) else [a]:
+                if x.upper() in kinds:
+                    wrong.append(f"tables[{i}]: {x} is defined twice")
                 tables[x.upper()] = b.upper() if isinstance(b, str) and kind != "drop" else None
+                kinds[x.upper()] = kind
+    known: set[tuple[str, str]] = set()
     for i, c in enumerate(doc.get("columns") or []):
         a, where = c.get("as_is"), f"columns[{i}]"
         sources = a if isinstance(a, list) else [a]
@@ -183,31 +188,97 @@ def load_mapping(text: str) -> tuple[list[dict], list[str]]:
             wrong.append(f"{where}: to_be is missing; null drops the column")
             continue
         b, f = c["to_be"], c.get("transform") or {}
-        if isinstance(b, list) and len(b) < 2:
+        if isinstance(b, list) and (len(b) < 2 or not all(isinstance(x, dict) and x.get("column") for x in b)):
             wrong.append(f"{where}: a split needs two targets")
             continue
+        wrong += [f"{where}: {x}" for x in column_faults(c, sources, known, kinds)]
+        known |= {(s["table"].upper(), s["column"].upper()) for s in sources}
         kind = "drop" if b is None else "merge" if isinstance(a, list) else "split" if isinstance(b, list) else "value_map" if c.get("value_map") is not None else "type_convert" if any(f.get(k) for k in ("read", "write", "where", "combine")) else "rename"
         for s in sources:
             t = s["table"].upper()
             to = b if isinstance(b, dict) else {}
-            rows.append(
-                {
-                    "as_is_table": t, "as_is_column": s["column"].upper(), "to_be_table": (to.get("table") or tables.get(t) or t).upper() if b is not None else None, "to_be_column": to["column"].upper() if to.get("column") else None, "kind": kind,
-                    "read": f.get("read"), "write": f.get("write"), "where_": f.get("where"), "value_map": {str(k): str(v) for k, v in c["value_map"].items()} if c.get("value_map") else None,
-                }
-            )
+            row = {
+                "as_is_table": t, "as_is_column": s["column"].upper(), "to_be_table": (to.get("table") or tables.get(t) or t).upper() if b is not None else None, "to_be_column": to["column"].upper() if to.get("column") else None, "kind": kind,
+                "read": f.get("read"), "write": f.get("write"), "where_": f.get("where"), "value_map": {str(k): str(v) for k, v in c["value_map"].items()} if c.get("value_map") else None,
+            }
+            if kinds.get(t, "rename") != "rename":
+                row["table_kind"] = kinds[t]
+            if c.get("default") is not None:
+                row["value_default"] = str(c["default"])
+            if kind == "split":
+                row |= {"to_be_table": tables.get(t) or t, "targets": [f"{(x.get('table') or tables.get(t) or t).upper()}.{x['column'].upper()}" for x in b], "selects": [x.get("transform_select") for x in b], "reverse": c.get("reverse")}
+            if kind == "merge":
+                row["combine"] = f.get("combine")
+            rows.append(row)
     return rows, wrong
 
 
+def expression_fault(text: str, known: set[str]) -> str | None:
+    """What is wrong with an expression of a mapping: a placeholder that isn't known, or text that can't be read."""
+    from quarrylane.operators import sqltext
+
+    strange = sorted({x for x in re.findall(r"\{(\w+)\}", text) if x.upper() not in known and x != "src" or x == "src" and "src" not in known})
+    if strange:
+        return f"unknown placeholder {', '.join(strange)}"
+    fault = sqltext.fault("SELECT " + re.sub(r"\{\w+\}", "X", text) + " FROM DUAL")
+    return f"{fault}: {text}" if fault else None
+
+
+def column_faults(c: dict, sources: list[dict], known: set[tuple[str, str]], tables: dict[str, str]) -> list[str]:
+    """What is wrong with a column of a mapping document, all of it at once."""
+    b, f, out = c["to_be"], c.get("transform") or {}, []
+    merged, split = isinstance(c["as_is"], list), isinstance(b, list)
+    for s in sources:
+        if (s["table"].upper(), s["column"].upper()) in known:
+            out.append(f"{s['table']}.{s['column']} is mapped twice")
+        if s["table"].upper() not in tables:
+            out.append(f"table {s['table']} isn't among the tables")
+    if merged and not f.get("combine"):
+        out.append("a merge needs transform.combine")
+    if split:
+        out += [f"target {x['column']} of a split needs transform_select" for x in b if not x.get("transform_select")]
+    if c.get("value_map") is not None and (merged or not isinstance(b, dict)):
+        out.append("a value_map needs one column on either side")
+    if b is None and any(f.values()):
+        out.append("a dropped column has no transform")
+    names = {s["column"].upper() for s in sources}
+    texts = [(k, f[k], names if merged else names | {"src"}) for k in ("read", "write", "where", "combine") if f.get(k)]
+    if split:
+        texts += [("transform_select", x["transform_select"], {"src"}) for x in b if x.get("transform_select")]
+        if c.get("reverse"):
+            texts.append(("reverse", c["reverse"], {x["column"].upper() for x in b}))
+    return out + [f"{k}: {fault}" for k, text, ok in texts if (fault := expression_fault(str(text), ok))]
+
+
 def dump_mapping(rows: list[dict]) -> str:
     """Column rows as a mapping document that load_mapping reads back."""
     import yaml
 
-    tables = {r["as_is_table"]: r["to_be_table"] for r in rows if r.get("to_be_table")}
-    columns = []
+    tables: dict[tuple, list] = {}
+    for r in rows:
+        kind = r.get("table_kind") or "rename"
+        targets = sorted({t.partition(".")[0] for t in r.get("targets") or []}) if kind == "split" else [r["to_be_table"]] if r.get("to_be_table") else []
+        at = tables.setdefault((r["as_is_table"], kind), [])
+        at += [t for t in targets if t not in at]
+    entries = []
+    for (a, kind), to in sorted(tables.items()):
+        if to or kind == "drop":
+            entries.append({"type": kind, "as_is": a, "to_be": None if kind == "drop" else to if kind == "split" else to[0]})
+    columns, merged = [], {}
     for r in rows:
-        c: dict = {"as_is": {"table": r["as_is_table"], "column": r["as_is_column"]}, "to_be": {"table": r["to_be_table"], "column": r["to_be_column"]} if r.get("to_be_column") else None}
-        f = {k: r.get(n) for k, n in (("read", "read"), ("write", "write"), ("where", "where_")) if r.get(n)}
-        columns.append(c | ({"transform": f} if f else {}) | ({"value_map": r["value_map"]} if r.get("value_map") else {}))
-    doc = {"version": "1.0", "tables": [{"type": "rename", "as_is": a, "to_be": b} for a, b in sorted(tables.items())], "columns": columns}
+        source = {"table": r["as_is_table"], "column": r["as_is_column"]}
+        key = (r.get("to_be_table"), r.get("to_be_column"))
+        if r["kind"] == "merge" and key in merged:
+            merged[key]["as_is"].append(source)
+            continue
+        to = {"table": r["to_be_table"], "column": r["to_be_column"]} if r.get("to_be_column") else None
+        if r["kind"] == "split":
+            to = [{"table": t.partition(".")[0], "column": t.partition(".")[2]} | ({"transform_select": x} if x else {}) for t, x in zip(r["targets"], r["selects"], strict=True)]
+        c: dict = {"as_is": [source] if r["kind"] == "merge" else source, "to_be": to}
+        f = {k: r.get(n) for k, n in (("read", "read"), ("write", "write"), ("where", "where_"), ("combine", "combine")) if r.get(n)}
+        c |= ({"transform": f} if f else {}) | ({"value_map": r["value_map"]} if r.get("value_map") else {}) | ({"default": r["value_default"]} if r.get("value_default") else {}) | ({"reverse": r["reverse"]} if r.get("reverse") else {})
+        if r["kind"] == "merge":
+            merged[key] = c
+        columns.append(c)
+    doc = {"version": "1.0", "tables": entries, "columns": columns}
     return yaml.safe_dump(doc, allow_unicode=True, sort_keys=False)
