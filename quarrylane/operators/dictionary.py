@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
 from quarrylane.functions.text import has_hangul, identifier_words, match_key, plain_key
+from quarrylane.session import cut
 
 # Writings of 'not standard', types without a length, the fields of a word with their ranks.
 NOT_STANDARD = ("N", "NO", "FALSE", "0", "X", "×", "비표준", "미표준", "아니오", "폐기", "삭제")
@@ -112,32 +116,75 @@ def cleaned_comment(c: Column) -> Column:
     return F.trim(F.regexp_replace(s, r"\s+", " "))
 
 
-def segmented(texts: DataFrame, keys: DataFrame) -> DataFrame:
+#: Keys, at most, that are handed to all executors.
+KEYS_MOST = 500_000
+TOKEN = "struct<frag: string, logical: string, abbr: string, matched: boolean, via: string>"
+
+
+class Words:
+    """Keys by their first character and length: the longest key at a place takes one look-up for each length that occurs."""
+
+    def __init__(self, keys: dict[str, tuple[str, str, str]]):
+        self.keys = keys
+        self.lengths: dict[str, list[int]] = {}
+        for k in keys:
+            own = self.lengths.setdefault(k[0], [])
+            if len(k) not in own:
+                own.append(len(k))
+        for own in self.lengths.values():
+            own.sort(reverse=True)
+
+    def tokens(self, text: str) -> list[dict]:
+        """The longest keys from left to right; what lies between, of two characters at least, unmatched."""
+        out, at, open_ = [], 0, 0
+
+        def rest(end: int) -> None:
+            if end - open_ >= 2:
+                out.append({"frag": text[open_:end], "logical": None, "abbr": None, "matched": False, "via": "unmatched"})
+
+        while at < len(text):
+            n = next((n for n in self.lengths.get(text[at], ()) if text[at : at + n] in self.keys), 0)
+            if n:
+                rest(at)
+                k = text[at : at + n]
+                logical, physical, field = self.keys[k]
+                out.append({"frag": k, "logical": logical, "abbr": physical, "matched": True, "via": field})
+                open_ = at + n
+            at += n or 1
+        rest(len(text))
+        return out
+
+
+def segmented(texts: DataFrame, keys: DataFrame, most: int = KEYS_MOST) -> DataFrame:
     """Text, tokens: the longest keys from left to right; what lies between is an unmatched token, if of two
     characters at least.
 
-    texts: text (a match key, each once); keys: resolved candidates. The texts' substrings are joined with the keys, so
-    neither side must fit in memory; the walk itself is a fold over each text's own hits.
+    texts: text (a match key, each once); keys: resolved candidates. Up to `most` keys go to all executors; beyond, the
+    texts' parts of the lengths that keys have are joined with the keys, so that neither side must fit in memory, and only
+    a text's own hits are gathered. Both ways give the same result.
     """
-    longest = keys.agg(F.coalesce(F.max(F.length("match_key")), F.lit(0))).first()[0]
+    own = keys.select("match_key", "logical", "physical", "field").filter("match_key <> ''")
+    if own.limit(most + 1).count() <= most:
+        shared = texts.sparkSession.sparkContext.broadcast({r[0]: (r[1], r[2], r[3]) for r in own.collect()})
+
+        def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            words = Words(shared.value)
+            for b in batches:
+                yield pd.DataFrame({"text": b["text"], "tokens": [words.tokens(t) if t else [] for t in b["text"]]})
+
+        return texts.select("text").mapInPandas(work, f"text string, tokens array<{TOKEN}>")
+    lengths = F.array(*[F.lit(r[0]) for r in own.select(F.length("match_key")).distinct().collect()])
     places = F.sequence(F.lit(1), F.greatest(F.length("text"), F.lit(1)))
-    subs = texts.filter("text <> ''").select("text", F.explode(places).alias("i")).select("text", "i", F.explode(F.sequence(F.lit(1), F.greatest(F.least(F.lit(longest), F.length("text") - F.col("i") + 1), F.lit(1)))).alias("n"))
-    hits = subs.withColumn("match_key", F.col("text").substr(F.col("i"), F.col("n"))).join(keys, "match_key")
-    listed = hits.groupBy("text").agg(F.array_sort(F.collect_list(F.struct("i", (-F.col("n")).alias("m"), "match_key", "logical", "physical", "field"))).alias("hits"))
-    whole = texts.join(listed, "text", "left")
-    return whole.withColumn(
-        "tokens",
-        F.expr(
-            """
-        filter(transform(
-          aggregate(coalesce(hits, array()), struct(1 as pos, cast(array() as array<struct<frag: string, logical: string, abbr: string, matched: boolean, via: string>>) as toks),
-            (s, h) -> if(h.i < s.pos, s, struct(h.i - h.m as pos, concat(s.toks,
-              if(h.i > s.pos, array(struct(substr(text, s.pos, h.i - s.pos) as frag, cast(null as string) as logical, cast(null as string) as abbr, false as matched, 'unmatched' as via)), array()),
-              array(struct(h.match_key as frag, h.logical as logical, h.physical as abbr, true as matched, h.field as via))) as toks)),
-            s -> concat(s.toks, if(s.pos <= length(text), array(struct(substr(text, s.pos) as frag, cast(null as string) as logical, cast(null as string) as abbr, false as matched, 'unmatched' as via)), array()))),
-          t -> t), t -> t.matched or length(t.frag) >= 2)"""
-        ),
-    ).select("text", "tokens")
+    subs = texts.filter("text <> ''").select("text", F.explode(lengths).alias("n")).filter("n <= length(text)").select("text", "n", F.explode(F.slice(places, F.lit(1), F.length("text") - F.col("n") + 1)).alias("i"))
+    hits = subs.withColumn("match_key", F.col("text").substr(F.col("i"), F.col("n"))).join(own, "match_key")
+    listed = hits.groupBy("text").agg(F.collect_list(F.struct("match_key", "logical", "physical", "field")).alias("hits"))
+
+    def alone(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            own_keys = [{h["match_key"]: (h["logical"], h["physical"], h["field"]) for h in hs} if hs is not None else {} for hs in b["hits"]]
+            yield pd.DataFrame({"text": b["text"], "tokens": [Words(k).tokens(t) if t else [] for t, k in zip(b["text"], own_keys, strict=True)]})
+
+    return texts.select("text").join(listed, "text", "left").mapInPandas(alone, f"text string, tokens array<{TOKEN}>")
 
 
 def physical_tokens(texts: DataFrame, keys: DataFrame, abbrs: DataFrame) -> DataFrame:
@@ -156,12 +203,68 @@ def composed_name(tokens: Column) -> Column:
     return F.array_join(F.transform(tokens, lambda t: F.coalesce(t["abbr"], F.concat(F.lit("«"), F.upper(t["frag"]), F.lit("»")))), "_")
 
 
-def recommended(columns: DataFrame, words: DataFrame, terms: DataFrame, today: str) -> DataFrame:
+def inferred_types(tokens: DataFrame, classifiers: DataFrame, domains: DataFrame) -> DataFrame:
+    """Kind, text, domain_name, data_type by the last token of tokens (kind, text, tokens) that is a classifier
+    (classifier_types); the domain's usual type (domain_types) goes before the classifier's own."""
+    each = tokens.select("kind", "text", F.posexplode("tokens").alias("pos", "t")).select("kind", "text", "pos", F.col("t.logical").alias("logical"))
+    hit = each.join(classifiers.select("logical", "domain_name", "data_type"), "logical")
+    last = hit.groupBy("kind", "text").agg(F.max(F.struct("pos", "domain_name", "data_type")).alias("b")).select("kind", "text", "b.domain_name", F.col("b.data_type").alias("own_type"))
+    usual = domains.select("domain_name", F.col("data_type").alias("usual"))
+    return last.join(usual, "domain_name", "left").select("kind", "text", "domain_name", F.coalesce("usual", "own_type").alias("data_type"))
+
+
+def probed(term: str, words: DataFrame, terms: DataFrame, today: str) -> DataFrame:
+    """How one term is known: its key, whether it is a term's or a word's name, what it stands for, through which field,
+    and the name, tier and tokens that are recommended for it."""
+    spark = words.sparkSession
+    key = spark.createDataFrame([(term,)], "term string").select("term", match_key(F.col("term")).alias("match_key"), plain_key(F.col("term")).alias("term_key"))
+    rec = recommended(spark.createDataFrame([(term, term)], "column_name string, col_comment string"), words, terms, today)
+    as_term = first_terms(terms, today, "logical").select(F.col("key").alias("term_key"), F.lit(True).alias("is_term"))
+    as_word = resolved(candidates(words, today)).select("match_key", F.col("logical").alias("resolved_logical"), F.col("physical").alias("abbr"), F.col("field").alias("matched_field"))
+    got = key.join(as_term, "term_key", "left").join(as_word, "match_key", "left").join(rec.select(F.col("column_name").alias("term"), "tobe_name", "tier", "tokens"), "term", "left")
+    return got.select("term", "match_key", F.coalesce("is_term", F.lit(False)).alias("in_terms"), F.col("abbr").isNotNull().alias("in_words"), "resolved_logical", "matched_field", "abbr", "tobe_name", "tier", "tokens")
+
+
+def retrieved_terms(comments: DataFrame, collection: DataFrame, embed, k: int = 5, batch: int = 64) -> DataFrame:
+    """query_id, vec_id, distance, rank: the k terms of a collection (vec_id, embedding) nearest to each distinct comment
+    (query_id, comment), cleaned; a blank one, or one without a vector, has none."""
+    from quarrylane.operators.vectors import embedded, nearest
+
+    asked = comments.select("query_id", cleaned_comment(F.col("comment")).alias("c"), F.trim("comment").alias("raw")).withColumn("text", F.when(F.col("c") != "", F.col("c")).otherwise(F.col("raw"))).filter("text <> ''")
+    texts = embedded(asked.select(F.col("text").alias("id"), "text").distinct(), embed, batch).filter("embedding is not null").select("text", "embedding")
+    return nearest(collection.select("vec_id", "embedding"), asked.join(texts, "text").select(F.col("query_id").alias("vec_id"), "embedding"), k, same_ids=False)
+
+
+def saved(words: DataFrame, terms: DataFrame, path: str, stamp: str) -> None:
+    """The dictionaries written anew at path, with the stamp (a date or hash) of what they were made from."""
+    words.write.mode("overwrite").parquet(f"{path}/word")
+    terms.write.mode("overwrite").parquet(f"{path}/term")
+    words.sparkSession.createDataFrame([(stamp,)], "stamp string").coalesce(1).write.mode("overwrite").parquet(f"{path}/stamp")
+
+
+def is_stale(spark, path: str, stamp: str) -> bool:
+    """Whether what is written at path was made from something else, or isn't there."""
+    from pyspark.errors import AnalysisException
+
+    try:
+        return [r[0] for r in spark.read.parquet(f"{path}/stamp").collect()] != [stamp]
+    except AnalysisException:
+        return True
+
+
+def loaded(spark, path: str) -> tuple[DataFrame, DataFrame]:
+    """The word and term dictionaries at path."""
+    return spark.read.parquet(f"{path}/word"), spark.read.parquet(f"{path}/term")
+
+
+def recommended(columns: DataFrame, words: DataFrame, terms: DataFrame, today: str, domains: DataFrame | None = None) -> DataFrame:
     """A name, tier and confidence for each distinct column name and comment.
 
     columns: column_name, col_comment. A Hangul comment is looked up as a term, then cut into words; an English one is
     resolved word by word; without a comment the column's name is looked up and resolved. tier: exact, already_standard,
-    composed, partial or unmatched; confidence: the share of matched tokens to two decimals.
+    composed, partial or unmatched; confidence: the share of matched tokens to two decimals. Where no term gives domain
+    and type, the last classifier among the tokens does (see inferred_types; domains: domain_name, data_type, term_id as order,
+    those of the terms where None).
     """
     pairs = columns.select("column_name", "col_comment").distinct()
     pairs = pairs.withColumn("cleaned", cleaned_comment(F.col("col_comment")))
@@ -171,14 +274,16 @@ def recommended(columns: DataFrame, words: DataFrame, terms: DataFrame, today: s
     pairs = pairs.withColumn("term_key", F.when(F.col("route") == "hangul", plain_key(F.col("cleaned")))).withColumn(
         "text", F.when(F.col("route") == "hangul", match_key(F.col("cleaned"))).when(F.col("route") == "english", F.col("cleaned")).otherwise(F.col("column_name"))
     )
-    keys, abbrs = resolved(candidates(words, today)).persist(), abbreviations(words, today)
+    keys, abbrs = cut(resolved(candidates(words, today))), abbreviations(words, today)
     by_logical = first_terms(terms, today, "logical").select(F.col("key").alias("term_key"), F.col("physical").alias("term_name"), F.col("domain_name").alias("term_domain"), F.col("data_type").alias("term_type"))
     by_name = first_terms(terms, today, "physical").select(F.col("key").alias("own_key"), F.col("domain_name").alias("own_domain"), F.col("data_type").alias("own_type"))
-    cut = segmented(pairs.filter("route = 'hangul'").select("text").distinct(), keys).withColumn("kind", F.lit("hangul"))
+    hangul_tokens = segmented(pairs.filter("route = 'hangul'").select("text").distinct(), keys).withColumn("kind", F.lit("hangul"))
     parts = physical_tokens(pairs.filter("route <> 'hangul'").select("text").distinct(), keys, abbrs).withColumn("kind", F.lit("other"))
-    tokens = cut.unionByName(parts)
+    tokens = cut(hangul_tokens.unionByName(parts))
+    typed = terms.select("term_id", "domain_name", composed_type(F.col("data_type"), F.col("data_length"), F.col("data_scale")).alias("data_type")) if domains is None else domains
+    guessed = inferred_types(tokens, classifier_types(terms, words, today), domain_types(typed)).select("kind", "text", F.col("domain_name").alias("guessed_domain"), F.col("data_type").alias("guessed_type"))
     pairs = pairs.withColumn("kind", F.when(F.col("route") == "hangul", "hangul").otherwise("other")).withColumn("own_key", F.when(F.col("route") == "physical", F.upper("column_name")))
-    all_ = pairs.join(by_logical, "term_key", "left").join(by_name, "own_key", "left").join(tokens, ["kind", "text"], "left")
+    all_ = pairs.join(by_logical, "term_key", "left").join(by_name, "own_key", "left").join(tokens, ["kind", "text"], "left").join(guessed, ["kind", "text"], "left")
     n, m = F.coalesce(F.greatest(F.size("tokens"), F.lit(0)), F.lit(0)), F.size(F.filter(F.coalesce("tokens", F.expr("array()")), lambda t: t["matched"]))
     name = composed_name(F.col("tokens"))
     exact, own = F.col("term_name").isNotNull(), F.col("own_type").isNotNull() | F.col("own_domain").isNotNull()
@@ -191,8 +296,8 @@ def recommended(columns: DataFrame, words: DataFrame, terms: DataFrame, today: s
         F.when(exact, F.col("term_name")).when(own, F.upper("column_name")).otherwise(name).alias("tobe_name"),
         tier.alias("tier"),
         F.when(exact | own, 1.0).when(n > 0, F.bround(m / n, 2)).otherwise(0.0).alias("confidence"),
-        F.when(exact, F.col("term_domain")).otherwise(F.col("own_domain")).alias("domain_name"),
-        F.when(exact, F.col("term_type")).otherwise(F.col("own_type")).alias("data_type"),
+        F.when(exact, F.col("term_domain")).when(own, F.col("own_domain")).otherwise(F.col("guessed_domain")).alias("domain_name"),
+        F.when(exact, F.col("term_type")).when(own, F.col("own_type")).otherwise(F.col("guessed_type")).alias("data_type"),
         "tokens",
     )
     return out.withColumn("too_long", F.length("tobe_name") > MAX_NAME)

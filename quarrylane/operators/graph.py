@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections import defaultdict
+import heapq
+from collections import defaultdict, deque
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -73,15 +74,25 @@ def split_component(members: pd.DataFrame, neighbours: dict[str, list[str]], siz
     """C4: the parts of one component: again and again the node of the most remaining neighbours (of equal ones the
     first by name) and what is near it, breadth first in order of names, up to size."""
     left, out, part = set(members), [], 0
+    degree = {n: len(left.intersection(neighbours[n])) for n in left}
+    # degrees only fall: a node's entries with an old one are passed over
+    heap = [(-d, n) for n, d in degree.items()]
+    heapq.heapify(heap)
     while left:
-        seed = min(left, key=lambda n: (-len(left.intersection(neighbours[n])), n))
-        queue, own = [seed], []
+        d, seed = heapq.heappop(heap)
+        if seed not in left or -d != degree[seed]:
+            continue
+        queue, own = deque([seed]), []
         while queue and len(own) < size:
-            n = queue.pop(0)
+            n = queue.popleft()
             if n in left:
                 left.discard(n)
                 own.append(n)
-                queue += sorted(left.intersection(neighbours[n]))
+                near = sorted(left.intersection(neighbours[n]))
+                queue += near
+                for x in near:
+                    degree[x] -= 1
+                    heapq.heappush(heap, (-degree[x], x))
         out += [(n, part) for n in own]
         part += 1
     return out
@@ -128,7 +139,8 @@ def chunks(nodes: DataFrame, size: int, key: str = "node") -> DataFrame:
     """Key, chunk: nodes in order, size by size. Numbered without a single sorted task: by range partitions, whose
     counts give each its first number."""
     ordered = nodes.select(key).distinct().repartitionByRange(key).sortWithinPartitions(key).withColumn("p", F.spark_partition_id())
-    ordered = ordered.withColumn("r", F.row_number().over(W.Window.partitionBy("p").orderBy(key)))
+    # written once: the partitions' numbers must be the same on both sides
+    ordered = cut(ordered.withColumn("r", F.row_number().over(W.Window.partitionBy("p").orderBy(key))))
     before = ordered.groupBy("p").agg(F.count("*").alias("n")).withColumn("start", F.sum("n").over(W.Window.orderBy("p").rowsBetween(W.Window.unboundedPreceding, -1)))
     return ordered.join(F.broadcast(before), "p").select(key, F.floor((F.col("r") + F.coalesce("start", F.lit(0)) - 1) / size).alias("chunk"))  # a row a partition
 

@@ -444,8 +444,8 @@ def rewritten_files(files: DataFrame, mapping: DataFrame, most: int = MAPPING_RO
             yield done(b, [rewrite_mapper(c, Mapping.of(as_rows(rows))) if c else (c, 0, []) for c, rows in zip(b["content"], b["rows"], strict=True)])
 
     words = own.select("path", F.explode(F.array_distinct(F.regexp_extract_all(F.upper("content"), F.lit(r"(\w+)"), F.lit(1)))).alias("as_is_table"))
-    relevant = words.join(mapping, "as_is_table").groupBy("path").agg(F.collect_set(F.struct(*mapping_columns(mapping))).alias("rows"))
-    whole = own.join(relevant, own["path"].eqNullSafe(relevant["path"]), "left").select(own["path"], "content", F.coalesce("rows", F.array().cast(relevant.schema["rows"].dataType)).alias("rows"))
+    relevant = words.join(mapping, "as_is_table").groupBy("path").agg(F.collect_set(F.struct(*mapping_columns(mapping))).alias("rows")).withColumnRenamed("path", "file")
+    whole = own.join(relevant, F.col("path").eqNullSafe(F.col("file")), "left").select("path", "content", F.coalesce("rows", F.array().cast(relevant.schema["rows"].dataType)).alias("rows"))
     return whole.mapInPandas(alone, schema)
 
 
@@ -548,6 +548,20 @@ def column_impact(read_: DataFrame, mapping: DataFrame) -> DataFrame:
     return own.join(refs, ["as_is_table", "as_is_column"], "left").groupBy("as_is_table", "as_is_column", "to_be").agg(F.count("id").alias("n_statements"))
 
 
+def impact_report(statements: DataFrame, schema: DataFrame, document: str) -> dict[str, DataFrame]:
+    """Tables, columns, mismatch and errors of a mapping document (YAML) over statements (mapper, id, type, sql) and a schema:
+    where the document has no sound row, the first three are empty and errors say why."""
+    from quarrylane.operators.statements import read
+    from quarrylane.sources.sheets import load_mapping
+
+    rows, wrong = load_mapping(document)
+    spark = statements.sparkSession
+    names = "as_is_table string, as_is_column string, to_be_table string, to_be_column string, kind string"
+    mapping = spark.createDataFrame([tuple(r[n.split()[0]] for n in names.split(", ")) for r in rows], names)
+    mined = read(statements)
+    return {"tables": table_impact(mined, mapping), "columns": column_impact(mined, mapping), "mismatch": schema_mismatch(mapping, schema), "errors": spark.createDataFrame([(w,) for w in wrong], "error string")}
+
+
 def schema_mismatch(mapping: DataFrame, columns: DataFrame) -> DataFrame:
     """Code, place: mapped columns that the schema (table_name, column_name) lacks, and schema columns nothing maps."""
     s = columns.select(F.col("table_name").alias("as_is_table"), F.col("column_name").alias("as_is_column")).distinct()

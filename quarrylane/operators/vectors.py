@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
@@ -14,8 +14,23 @@ from pyspark.sql import window as W
 QUERY_BLOCK = 4096
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, block: int = QUERY_BLOCK, metric: str = "cosine") -> DataFrame:
+def smallest(d: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The k smallest distances of each row in order, of equal ones by id, with their ids. Only what doesn't exceed the k-th
+    one is sorted."""
+    near = np.round(d, 12)
+    row, col = np.nonzero(near <= np.partition(near, k - 1, axis=1)[:, k - 1 : k])
+    order = np.lexsort((ids[row, col], near[row, col], row))
+    row, col = row[order], col[order]
+    rank = np.arange(len(row)) - np.searchsorted(row, row)
+    row, col, rank = row[rank < k], col[rank < k], rank[rank < k]
+    out_d, out_i = np.full((len(d), k), np.inf), np.full((len(d), k), np.iinfo(np.int64).max)
+    out_d[row, rank], out_i[row, rank] = d[row, col], ids[row, col]
+    return out_d, out_i
+
+
+def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, block: int = QUERY_BLOCK, metric: str = "cosine", same_ids: bool = True) -> DataFrame:
     """I4: query_id, vec_id, rank, distance: the k nearest other vectors of each query, exactly, of equal ones the first by id.
+    Ids of both sides mean the same things, unless same_ids is False. Vectors of another length than the query's don't count.
 
     vectors, queries: vec_id, embedding. The query set goes to all executors in blocks of bounded size; each batch of
     vectors is compared with a block by one matrix product and keeps k of each query, so that only partitions times k
@@ -23,7 +38,6 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, block: int = QUE
     """
     spark = vectors.sparkSession
     out: DataFrame | None = None
-    ids, rows = [], []
 
     def matched(ids: list[int], rows: list[list[float]]) -> DataFrame:
         shared = spark.sparkContext.broadcast((np.array(ids, np.int64), np.array(rows, np.float64)))
@@ -45,23 +59,23 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, block: int = QUE
                 else:
                     d = np.maximum((q**2).sum(1)[:, None] + (v**2).sum(1)[None, :] - 2 * (q @ v.T), 0)
                 d[np.isnan(d)] = np.inf
-                d[qid[:, None] == vid[None, :]] = np.inf
-                all_d, all_i = np.hstack([best_d, d]), np.hstack([best_i, np.broadcast_to(vid, d.shape)])
-                order = np.lexsort((all_i, np.round(all_d, 12)), axis=1)[:, :k]
-                best_d, best_i = np.take_along_axis(all_d, order, 1), np.take_along_axis(all_i, order, 1)
+                if same_ids:
+                    d[qid[:, None] == vid[None, :]] = np.inf
+                best_d, best_i = smallest(np.hstack([best_d, d]), np.hstack([best_i, np.broadcast_to(vid, d.shape)]), k)
             keep = np.isfinite(best_d)
             yield pd.DataFrame({"query_id": np.repeat(qid, keep.sum(1)), "vec_id": best_i[keep], "distance": best_d[keep]})
 
         return vectors.select("vec_id", "embedding").mapInPandas(work, "query_id bigint, vec_id bigint, distance double")
 
+    sizes: dict[int, tuple[list, list]] = {}
     for r in queries.filter("embedding is not null and size(embedding) > 0").select("vec_id", "embedding").toLocalIterator():
+        ids, rows = sizes.setdefault(len(r[1]), ([], []))
         ids.append(r[0])
         rows.append(list(r[1]))
         if len(ids) == block:
-            one = matched(ids, rows)
+            one = matched(*sizes.pop(len(r[1])))
             out = one if out is None else out.unionByName(one)
-            ids, rows = [], []
-    if ids:
+    for ids, rows in sizes.values():
         one = matched(ids, rows)
         out = one if out is None else out.unionByName(one)
     if out is None:
@@ -124,3 +138,61 @@ def upserted(old: DataFrame, new: DataFrame, key: str = "id") -> DataFrame:
 def first_by_text(hits: DataFrame, order: str, length: int = 200) -> DataFrame:
     """Hits without those whose first characters an earlier hit has."""
     return hits.withColumn("head", F.left("text", F.lit(length))).groupBy("head").agg(F.min_by(F.struct(*hits.columns), order).alias("h")).select("h.*")
+
+
+def schema_documents(columns: DataFrame, constraints: DataFrame, size: int = 30) -> DataFrame:
+    """table_name, kind, chunk, text for retrieval. A table of up to `size` columns is one chunk (whole); a larger one has an
+    overview (its name, comment and number of columns) and groups of columns; either has a chunk of its constraints where
+    it has any.
+
+    columns: table_name, table_comment, column_name, col_no, data_type; constraints: table_name, kind, detail.
+    """
+    line = F.trim(F.concat_ws(" ", "column_name", F.coalesce("data_type", F.lit(""))))
+    own = columns.groupBy("table_name", "column_name").agg(F.min("col_no").alias("col_no"), F.min("data_type").alias("data_type")).withColumn("line", line)
+    sized = own.withColumn("r", F.row_number().over(W.Window.partitionBy("table_name").orderBy("col_no", "column_name"))).withColumn("chunk", F.floor((F.col("r") - 1) / size))
+    listed = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r", "line"))), lambda x: x["line"]), ", ")
+    groups = sized.groupBy("table_name", "chunk").agg(listed.alias("columns"))
+    heads = columns.groupBy("table_name").agg(F.max("table_comment").alias("table_comment"), F.count_distinct("column_name").alias("n"))
+    title = F.concat_ws(" - ", "table_name", "table_comment")
+    joined = groups.join(heads, "table_name")
+    parts = joined.select("table_name", F.when(F.col("n") <= size, "whole").otherwise("columns").alias("kind"), "chunk", F.concat_ws(": ", F.when(F.col("n") <= size, title).otherwise(F.col("table_name")), "columns").alias("text"))
+    overview = heads.filter(F.col("n") > size).select("table_name", F.lit("overview").alias("kind"), F.lit(0).cast("bigint").alias("chunk"), F.concat_ws(": ", title, F.concat(F.col("n").cast("string"), F.lit(" columns"))).alias("text"))
+    detail = F.array_join(F.array_sort(F.collect_set(F.concat_ws(" ", "kind", "detail"))), "; ")
+    footer = constraints.groupBy("table_name").agg(detail.alias("c")).select("table_name", F.lit("constraints").alias("kind"), F.lit(0).cast("bigint").alias("chunk"), F.concat_ws(": ", "table_name", "c").alias("text"))
+    return parts.unionByName(overview).unionByName(footer.join(heads.select("table_name"), "table_name", "left_semi"))
+
+
+def query_documents(edges: DataFrame, crud: DataFrame, usage: DataFrame, relations: int = 15, queries: int = 5) -> DataFrame:
+    """Kind, part, chunk, text, tables for retrieval: relations by 15, each mapper's statements by 5, and the tables' use.
+
+    edges: table1, column1, table2, column2, join_type; crud: mapper, id, table_name, crud; usage: table_name and counts.
+    Relations are put together by their first table, so that no chunk needs a global order.
+    """
+    rel = edges.select(F.lit("relation").alias("kind"), F.col("table1").alias("part"), F.format_string("%s.%s = %s.%s (%s)", "table1", "column1", "table2", "column2", "join_type").alias("line"), F.array("table1", "table2").alias("ts"))
+    statements = crud.groupBy("mapper", "id").agg(F.array_sort(F.collect_set("table_name")).alias("ts"), F.array_join(F.array_sort(F.collect_set(F.format_string("%s(%s)", "table_name", "crud"))), ", ").alias("l"))
+    own = statements.select(F.lit("query").alias("kind"), F.col("mapper").alias("part"), F.concat_ws(": ", "id", "l").alias("line"), "ts")
+    counts = F.array_join(F.transform(F.array(*[F.struct(F.lit(c).alias("k"), F.col(c).cast("string").alias("v")) for c in usage.columns if c != "table_name"]), lambda x: F.concat_ws("=", x["k"], x["v"])), " ")
+    used = usage.select(F.lit("usage").alias("kind"), F.col("table_name").alias("part"), F.concat_ws(": ", "table_name", counts).alias("line"), F.array("table_name").alias("ts"))
+    every = rel.unionByName(own).unionByName(used)
+    size = F.when(F.col("kind") == "relation", relations).when(F.col("kind") == "query", queries).otherwise(1)
+    numbered = every.withColumn("r", F.row_number().over(W.Window.partitionBy("kind", "part").orderBy("line"))).withColumn("chunk", F.floor((F.col("r") - 1) / size))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r", "line"))), lambda x: x["line"]), "\n")
+    return numbered.groupBy("kind", "part", "chunk").agg(text.alias("text"), F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_list("ts")))), ",").alias("tables"))
+
+
+def term_texts(terms: DataFrame) -> DataFrame:
+    """Id, text of each distinct logical name: the name and the first description; terms: logical, physical, term_desc."""
+    own = terms.filter("trim(logical) <> '' and trim(physical) <> ''").groupBy("logical", "physical").agg(F.min("term_desc").alias("term_desc"))
+    return own.select(F.concat_ws("|", "logical", "physical").alias("id"), F.trim(F.concat_ws(" ", "logical", "term_desc")).alias("text"))
+
+
+def rebuilt(chunks: DataFrame, embed: Callable[[list[str]], list[list[float]]], path: str, batch: int = 64) -> DataFrame:
+    """A collection (id, text, embedding) written anew at path, in place of what was there; what has no vector is left
+    out."""
+    embedded(chunks, embed, batch).filter("embedding is not null").write.mode("overwrite").parquet(path)
+    return chunks.sparkSession.read.parquet(path)
+
+
+def collection(spark: SparkSession, path: str) -> DataFrame:
+    """A collection written by rebuilt, as vec_id, embedding and text for nearest."""
+    return spark.read.parquet(path).select(F.col("id").alias("vec_id"), "embedding", "text")

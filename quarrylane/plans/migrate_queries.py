@@ -94,10 +94,6 @@ def g1_rewrite(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rewritten(spark, sf_dir).select("mapper", "id", "to_be_sql", "status", F.array_join("warnings", "; ").alias("warnings"))
 
 
-def g3_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mig.change_counts(rewritten(spark, sf_dir))
-
-
 def g10_value_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = mig.mapped_values(table(spark, sf_dir, "orders"), "o_orderstatus", {"F": "DONE", "O": "OPEN"}, "OTHER")
     return o.groupBy("o_orderstatus").agg(F.count("*").alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total"))
@@ -143,18 +139,6 @@ SELECT 'NOT_IN_SCHEMA' AS code, as_is_table || '.' || as_is_column AS place FROM
 UNION ALL SELECT 'NOT_MAPPED', as_is_table || '.' || as_is_column FROM (SELECT * FROM s SEMI JOIN m USING (as_is_table)) ANTI JOIN m USING (as_is_table, as_is_column)"""
 
 
-def g19_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mig.mapping_violations(flat(spark, sf_dir))
-
-
-G19 = f"""
-WITH m AS MATERIALIZED (SELECT * FROM {MAP})
-SELECT 'DUPLICATE_SOURCE' AS code, as_is_table || '.' || as_is_column AS place, CAST(count(*) AS VARCHAR) AS detail FROM m GROUP BY as_is_table, as_is_column HAVING count(*) > 1
-UNION ALL SELECT 'DUPLICATE_TARGET', to_be_table || '.' || to_be_column, CAST(count(*) AS VARCHAR) FROM m WHERE to_be_column IS NOT NULL GROUP BY to_be_table, to_be_column HAVING count(*) > 1
-UNION ALL SELECT 'SPLIT_TABLE', as_is_table, CAST(count(DISTINCT to_be_table) AS VARCHAR) FROM m WHERE to_be_table IS NOT NULL GROUP BY as_is_table HAVING count(DISTINCT to_be_table) > 1
-UNION ALL SELECT 'BAD_NAME', as_is_table || '.' || as_is_column, to_be_column FROM m WHERE NOT regexp_matches(coalesce(to_be_column, 'X'), '^[A-Z][A-Z0-9_$#]*$')"""
-
-
 def g20_schema(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mig.derived_schema(flat(spark, sf_dir))
 
@@ -163,14 +147,6 @@ G20 = f"""
 SELECT to_be_table AS table_name, to_be_column AS column_name, arg_min(coalesce(to_be_type, as_is_type), as_is_table || '.' || as_is_column) AS data_type FROM {MAP} WHERE to_be_column IS NOT NULL GROUP BY 1, 2"""
 
 
-def g21_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mig.coverage(full_mapping(spark, sf_dir), g3_changes(spark, sf_dir))
-
-
-def g22_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mig.rates(rewritten(spark, sf_dir))
-
-
 PAIRS = [("VARCHAR2(8)", "DATE"), ("VARCHAR2(14)", "TIMESTAMP"), ("VARCHAR2(20)", "NUMBER(10)"), ("CHAR(8)", "DATE"), ("NUMBER", "VARCHAR2(3)"), ("DATE", "TIMESTAMP"), ("VARCHAR2(30)", "VARCHAR2(60)"), (None, "DATE")]
 PAIR_ROWS = [
     ("VARCHAR2(8)", "DATE", "TO_CHAR({src}, 'YYYYMMDD')"), ("VARCHAR2(14)", "TIMESTAMP", "TO_CHAR({src}, 'YYYYMMDDHH24MISS')"), ("VARCHAR2(20)", "NUMBER(10)", "TO_CHAR({src})"), ("CHAR(8)", "DATE", "TO_CHAR({src}, 'YYYYMMDD')"),
@@ -194,14 +170,13 @@ B18 = f"SELECT mapper, id, string_agg(table_name || '(' || crud || ')', ', ' ORD
 QUERIES = {
     f.__name__: f
     for f in (
-        a14_mapper_statements, a27_flat_mapping, b18_statement_crud, b20_paths, g1_rewrite, g3_changes, g10_value_map, g14_unknown_tables, g17_impact, g17_column_impact, g18_mismatch, g19_violations, g20_schema,
-        g21_coverage, g22_rates, g24_conversions,
+        a14_mapper_statements, a27_flat_mapping, b18_statement_crud, b20_paths, g1_rewrite, g10_value_map, g14_unknown_tables, g17_impact, g17_column_impact, g18_mismatch, g20_schema, g24_conversions,
     )
 }
 SQL = {
     "a14_mapper_statements": f"SELECT * FROM {values_sql('path string, namespace string, id string, type string, sql string', STATEMENT_ROWS)}",
     "a27_flat_mapping": f"SELECT as_is_table, as_is_column, as_is_type, to_be_table, to_be_column, to_be_type FROM {MAP}", "b18_statement_crud": B18,
     "b20_paths": f"SELECT * FROM {values_sql('id string, path_no int, label string, sql string', PATH_ROWS)}",
-    "g10_value_map": G10, "g14_unknown_tables": f"SELECT mapper, id, table_name AS place FROM ({B3}) WHERE table_name NOT IN (SELECT table_name FROM column_rec)", "g17_impact": G17, "g17_column_impact": G17C, "g18_mismatch": G18, "g19_violations": G19, "g20_schema": G20,
+    "g10_value_map": G10, "g14_unknown_tables": f"SELECT mapper, id, table_name AS place FROM ({B3}) WHERE table_name NOT IN (SELECT table_name FROM column_rec)", "g17_impact": G17, "g17_column_impact": G17C, "g18_mismatch": G18, "g20_schema": G20,
     "g24_conversions": f"SELECT * FROM {values_sql('as_is_type string, to_be_type string, where_form string', PAIR_ROWS)}",
 }

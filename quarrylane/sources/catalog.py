@@ -21,7 +21,7 @@ def jdbc_table(spark: SparkSession, url: str, query: str, properties: dict[str,
 
 
 def dictionary_views(spark: SparkSession, url: str, owner: str, properties: dict[str, str]) -> dict[str, DataFrame]:
-    """The dictionary views of one owner, five reads instead of some for each table."""
+    """The dictionary views of one owner, eight reads instead of some for each table."""
     safe = owner.upper().replace("'", "''")
     return {k: jdbc_table(spark, url, f"SELECT * FROM {v} WHERE {'TABLE_OWNER' if v.startswith('ALL_IND') else 'OWNER'} = '{safe}'", properties) for k, v in VIEWS.items()}
 
@@ -65,6 +65,37 @@ def indexes(heads: DataFrame, members: DataFrame) -> DataFrame:
     return own.join(heads.select("table_name", "index_name", (F.col("uniqueness") == "UNIQUE").alias("is_unique")), ["table_name", "index_name"])
 
 
+def table_list(tables: DataFrame) -> DataFrame:
+    """A1: table_name, each once."""
+    return tables.select("table_name").distinct()
+
+
+def table_comments(comments: DataFrame) -> DataFrame:
+    """A2: table_name, comment of the tables that have one."""
+    return comments.filter("comments is not null").select("table_name", F.col("comments").alias("comment"))
+
+
+def schema(views: dict[str, DataFrame], only: list[str] | None = None) -> dict[str, DataFrame]:
+    """Tables (with comments), columns, primary_keys, foreign_keys and indexes of an owner's views (see VIEWS), or of only
+    some tables. Set by set; nothing is read for each table."""
+    pick = lambda df: df.filter(F.col("table_name").isin(only)) if only is not None else df
+    members = views["constraint_columns"]
+    return {
+        "tables": pick(table_list(views["tables"])).join(table_comments(views["table_comments"]), "table_name", "left"),
+        "columns": pick(columns(views["columns"], views["column_comments"])), "primary_keys": pick(primary_keys(views["constraints"], members)),
+        "foreign_keys": pick(foreign_keys(views["constraints"], members)), "indexes": pick(indexes(views["indexes"], views["index_columns"])),
+    }
+
+
+def constraint_lines(parts: dict[str, DataFrame]) -> DataFrame:
+    """table_name, kind, detail of a schema's keys and indexes, for retrieval documents and reports."""
+    listed = lambda c: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("position", c))), lambda x: x[c]), ", ")
+    pk = parts["primary_keys"].groupBy("table_name").agg(listed("column_name").alias("detail")).select("table_name", F.lit("PK").alias("kind"), "detail")
+    fk = parts["foreign_keys"].select("table_name", F.lit("FK").alias("kind"), F.format_string("%s -> %s.%s", "column_name", "ref_table", "ref_column").alias("detail"))
+    ix = parts["indexes"].select("table_name", F.lit("INDEX").alias("kind"), F.format_string("%s (%s)%s", "index_name", F.array_join("columns", ", "), F.when(F.col("is_unique"), " unique").otherwise("")).alias("detail"))
+    return pk.unionByName(fk).unionByName(ix)
+
+
 def spark_columns(df: DataFrame, table: str) -> DataFrame:
     """A3 for a Spark table: its own schema as catalog rows."""
     rows = [(table, i, f.name, f.dataType.simpleString(), "Y" if f.nullable else "N") for i, f in enumerate(df.schema.fields, 1)]
@@ -89,6 +120,27 @@ def markdown_joins(files: DataFrame) -> DataFrame:
     return each.select("path", get(1).alias("table1"), get(2).alias("column1"), get(3).alias("table2"), get(4).alias("column2"), F.trim(F.regexp_extract("row", r"<->[^|]*\|([^|]*)\|", 1)).alias("join_type"))
 
 
+def markdown_usage(files: DataFrame) -> DataFrame:
+    """Path, table_name and the counts of a query document's usage rows: a table's name, then at least three numbers."""
+    rows = files.select("path", F.explode(F.regexp_extract_all("content", F.lit(r"(?m)^\|([^\n]*)\|[ \t]*$"), F.lit(1))).alias("row"))
+    cells = F.transform(F.split("row", r"\|"), lambda c: F.trim(F.regexp_replace(c, "[`*]", "")))
+    own = rows.select("path", cells[0].alias("table_name"), F.filter(F.slice(cells, 2, 20), lambda c: c.rlike("^[0-9]+$")).alias("n"))
+    return own.filter(r"table_name rlike '^[A-Za-z_][\\w$#]*$' and size(n) >= 3").select("path", F.upper("table_name").alias("table_name"), F.transform("n", lambda x: x.cast("bigint")).alias("counts"))
+
+
+def markdown_tables(files: DataFrame) -> DataFrame:
+    """table_name: every table that query documents name, as a heading, in a join or in a usage row, each once."""
+    heads = files.select(F.explode(F.regexp_extract_all("content", F.lit(r"(?m)^#{2,4} +`?([A-Za-z_][\w$#]*)`?[ \t]*$"), F.lit(1))).alias("table_name"))
+    joins = markdown_joins(files)
+    every = heads.unionByName(joins.select(F.col("table1").alias("table_name"))).unionByName(joins.select(F.col("table2").alias("table_name"))).unionByName(markdown_usage(files).select("table_name"))
+    return every.select(F.upper("table_name").alias("table_name")).distinct()
+
+
+def schema_lookup(files: DataFrame) -> DataFrame:
+    """S3: table_name, column_name of schema documents, in upper case, each once."""
+    return markdown_columns(files).select(F.upper("table_name").alias("table_name"), F.upper("column_name").alias("column_name")).distinct()
+
+
 def renamed_menu(rows: DataFrame, names: dict[str, str]) -> DataFrame:
     """A menu table with its own column names as program_id, program_nm, url, parent_id, level."""
     want = ("program_id", "program_nm", "url", "parent_id", "level")

@@ -12,7 +12,6 @@ SKIP_DIRS = ("node_modules", "build", "dist", ".next", ".git", ".svn", ".idea",
 BUILD_OUTPUT = ("/target/classes/", "/target/test-classes/", "/target/generated-resources/", "/build/classes/", "/build/resources/main/", "/build/resources/test/", "/build/generated/", "/out/production/", "/out/test/", "/bin/main/", "/bin/test/")
 ENCODINGS = ("utf-8", "euc-kr", "cp949", "latin-1")
 MINIFIED = r"\.(?:min|bundle|chunk|compiled)\."
-MOST_BYTES = 500_000
 
 
 @F.pandas_udf(T.StringType())
@@ -47,9 +46,33 @@ def mapper_files(spark: SparkSession, folder: str) -> DataFrame:
     return text_files(spark, folder, "*.xml", skip_dirs=False).filter(head.rlike("<(?:select|insert|update|delete)") | (head.rlike("mapper|sqlmap|sql-map") & head.contains("namespace")))
 
 
-def script_files(spark: SparkSession, folder: str) -> DataFrame:
-    """JavaScript and TypeScript sources, without minified and very large ones."""
-    return text_files(spark, folder, "*.{js,jsx,ts,tsx,mjs}").filter(~F.col("path").rlike(MINIFIED) & (F.length("content") <= MOST_BYTES))
+def script_files(spark: SparkSession, folder: str, most: int | None = None) -> DataFrame:
+    """JavaScript and TypeScript sources, without minified ones, and without those of more than `most` characters
+    where it is given."""
+    own = text_files(spark, folder, "*.{js,jsx,ts,tsx,mjs}").filter(~F.col("path").rlike(MINIFIED))
+    return own if most is None else own.filter(F.length("content") <= most)
+
+
+def skipped_scripts(spark: SparkSession, folder: str, most: int | None = None) -> DataFrame:
+    """Path, reason of the scripts that script_files leaves out."""
+    own = text_files(spark, folder, "*.{js,jsx,ts,tsx,mjs}")
+    large = F.lit(False) if most is None else F.length("content") > most
+    return own.select("path", F.when(F.col("path").rlike(MINIFIED), "minified").when(large, "too large").alias("reason")).filter("reason is not null")
+
+
+def kept(files: DataFrame, path: str) -> DataFrame:
+    """Files read and decoded once, written at path and read from there, for several scanners."""
+    files.write.mode("overwrite").parquet(path)
+    return files.sparkSession.read.parquet(path)
+
+
+def backend_repos(settings: DataFrame, repos: DataFrame) -> DataFrame:
+    """Name, repo: the back end that a setting (name, value: a URL or path) means: the project (repo) whose name is a part
+    of the URL's path or host between marks, the longest, of equal ones the first."""
+    parts = F.array_distinct(F.filter(F.split(F.lower("value"), r"[/.:?&=#]+"), lambda p: p != ""))
+    each = settings.select("name", F.explode(parts).alias("part"))
+    hit = each.join(repos.select(F.lower("repo").alias("part"), "repo").distinct(), "part")
+    return hit.groupBy("name").agg(F.min(F.struct((-F.length("repo")).alias("n"), "repo"))["repo"].alias("repo"))
 
 
 def java_files(spark: SparkSession, folder: str) -> DataFrame:
