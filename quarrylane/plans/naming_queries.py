@@ -49,6 +49,18 @@ def e5_merged_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return naming.word_category(naming.merged_words(naming.schema_words(catalog_columns(spark, sf_dir)), naming.source_words(files)))
 
 
+# identifiers of texts without comments and strings, each word once a text
+NO_STRINGS = r"""regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '//[^\n]*', '', 'g'), '/\*[\s\S]*?\*/', '', 'g'), '"[^"]*"', '', 'g'), '''[^'']*''', '', 'g'), '`[^`]*`', '', 'g')"""
+E5 = rf"""
+WITH t AS (SELECT unnest({WORDS('table_name')}) AS word, 'TABLE:' || table_name AS source, 1 AS db FROM (SELECT DISTINCT table_name FROM column_rec)
+  UNION ALL SELECT unnest({WORDS('column_name')}), 'COL:' || table_name || '.' || column_name, 1 FROM (SELECT DISTINCT table_name, column_name FROM column_rec)
+  UNION ALL SELECT DISTINCT unnest({WORDS('i')}), 'FE:' || doc_id, 0 FROM (SELECT doc_id, unnest(list_filter(regexp_extract_all({NO_STRINGS}, '[\p{{L}}\p{{M}}\p{{N}}_]+'), lambda w: regexp_full_match(w, '[a-zA-Z_][a-zA-Z0-9_]{{2,}}'))) AS i FROM documents WHERE text IS NOT NULL)),
+v AS (SELECT * FROM t WHERE length(word) >= 2 AND word NOT IN ({STOP}) AND NOT regexp_matches(word, '^[0-9]+$')),
+s AS (SELECT word, array_to_string(list_sort(list(DISTINCT source))[1:5], ',') AS sample_sources FROM v GROUP BY word)
+SELECT word, sum(db) AS db_count, sum(1 - db) AS fe_count, count(*) AS total_count, count(DISTINCT source) AS source_count, any_value(sample_sources) AS sample_sources,
+  CASE WHEN sum(db) > 0 AND sum(1 - db) > 0 THEN 'both' WHEN sum(db) > 0 THEN 'db_only' ELSE 'fe_only' END AS category FROM v JOIN s USING (word) GROUP BY word"""
+
+
 def e6_partition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e5_merged_words(spark, sf_dir).groupBy("category").agg(F.count("*").alias("n"))
 
@@ -158,6 +170,6 @@ def e23_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (e1_tokens, e3_schema_words, e5_merged_words, e6_partition, e7_naming, e8_suggestions, e11_match_key, e12_living, e14_priority, e15_classifier, e16_domain, e17_exact_terms, e20_recommend, e23_stats, d12_audit)}
 SQL = {
-    "e1_tokens": E1, "e3_schema_words": E3, "e7_naming": E7, "e11_match_key": f"SELECT word_id, {KEY('logical')} AS match_key FROM word", "e12_living": E12, "e14_priority": E14, "e15_classifier": E15,
+    "e1_tokens": E1, "e5_merged_words": E5, "e6_partition": f"SELECT category, count(*) AS n FROM ({E5}) GROUP BY category", "e3_schema_words": E3, "e7_naming": E7, "e11_match_key": f"SELECT word_id, {KEY('logical')} AS match_key FROM word", "e12_living": E12, "e14_priority": E14, "e15_classifier": E15,
     "e16_domain": E16, "e17_exact_terms": E17, "d12_audit": D12,
 }

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarrylane.plans import lineage_queries, migrate_queries, naming_queries, packed_queries, profile_queries, rewrite_queries, shape_queries, statement_queries
+from quarrylane.plans import corpus_queries, lineage_queries, migrate_queries, naming_queries, packed_queries, profile_queries, rewrite_queries, shape_queries, statement_queries
 
-MODULES = [packed_queries, profile_queries, statement_queries, shape_queries, naming_queries, lineage_queries, migrate_queries, rewrite_queries]
+MODULES = [packed_queries, profile_queries, statement_queries, shape_queries, corpus_queries, naming_queries, lineage_queries, migrate_queries, rewrite_queries]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
