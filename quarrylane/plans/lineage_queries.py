@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarrylane.operators import endpoints, vectors
 from quarrylane.operators import lineage as lin
-from quarrylane.operators import vectors
 from quarrylane.plans.tables import catalog_columns, values, values_sql
 from quarrylane.session import table
 
@@ -65,6 +65,44 @@ def h16_first_url(spark: SparkSession, sf_dir: str) -> DataFrame:
 H16 = f"SELECT url_key, min(field_id) AS field_id FROM ({H1}) GROUP BY url_key"
 
 
+def _links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """screen, app, endpoint: each screen field's path and folder beside the endpoint of the same number."""
+    f = table(spark, sf_dir, "screen_field").select("field_id", F.lower(F.concat(F.lit("/"), "screen_file")).alias("screen"))
+    e = table(spark, sf_dir, "endpoint_spec").select(F.col("spec_id").alias("field_id"), F.concat(F.lit("/api/e"), "spec_id").alias("endpoint"))
+    return f.join(e, "field_id").withColumn("app", F.split_part("screen", F.lit("/"), F.lit(4)))
+
+
+def h17_menu(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each endpoint's menu entry: its own path, what a screen's files call, the folder that calls it, or a folder's other name."""
+    x = _links(spark, sf_dir)
+    way = F.col("field_id") % 4
+    menu_ = x.select(F.col("screen").alias("program_id"), F.col("screen").alias("url")).distinct()
+    own = x.select(F.when(way == 0, F.col("screen")).otherwise(F.col("endpoint")).alias("url"))
+    chain = x.filter(way == 1).select(F.col("screen").alias("menu_url"), F.col("endpoint").alias("url"))
+    api = x.filter(way >= 2).select(F.when(way == 2, F.col("app")).otherwise(F.concat(F.lit("zz-"), "app")).alias("app"), F.col("endpoint").alias("url"))
+    alias = x.select(F.col("app").alias("alias"), F.concat(F.lit("zz-"), "app").alias("app")).distinct()
+    return endpoints.menu_matches(own, menu_, chain, api, alias, segment=3)
+
+
+LINKS = "(SELECT field_id, lower('/' || screen_file) AS screen, '/api/e' || spec_id AS endpoint, split_part(lower('/' || screen_file), '/', 4) AS app FROM screen_field JOIN endpoint_spec ON spec_id = field_id)"
+H17 = f"""
+WITH x AS {LINKS}, m AS (SELECT app, min(screen) AS first FROM x WHERE app <> '' GROUP BY app)
+SELECT DISTINCT screen AS url, screen AS program_id, 'url' AS way FROM x WHERE field_id % 4 = 0
+UNION ALL SELECT endpoint, screen, 'import_chain' FROM x WHERE field_id % 4 = 1
+UNION ALL SELECT endpoint, first, CASE field_id % 4 WHEN 2 THEN 'app' ELSE 'alias' END FROM x JOIN m USING (app) WHERE field_id % 4 >= 2"""
+
+
+def h34_front_only(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The endpoints that screens call and no back end has: those of every third number are taken to be gone."""
+    x = _links(spark, sf_dir)
+    calls = endpoints.front_map(x.select(F.col("endpoint").alias("url"), "screen", F.lit("save").alias("trigger")), x.select(F.col("endpoint").alias("url"), F.col("app").alias("screen"), F.lit(None).cast("string").alias("trigger")))
+    there = x.filter("field_id % 3 <> 0").select(F.col("endpoint").alias("url"))
+    return endpoints.front_only(calls, there).select("url", "screens", "triggers", "program_name")
+
+
+H34 = f"SELECT endpoint AS url, least(app, screen) || '; ' || greatest(app, screen) AS screens, screen || ': save' AS triggers, substr(endpoint, 2) AS program_name FROM {LINKS} WHERE field_id % 3 = 0"
+
+
 def h18_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each screen with the folder of its component's endpoints, where there is one."""
     routes = table(spark, sf_dir, "endpoint_spec").select(F.concat(F.lit("/src/views/"), F.split_part("spec_key", F.lit("."), F.lit(2))).alias("route")).unionByName(values(spark, "route string", [("/src",)]))
@@ -210,10 +248,10 @@ SELECT query_id, vec_id, row_number() OVER (PARTITION BY query_id ORDER BY round
 
 QUERIES = {
     f.__name__: f
-    for f in (h1_url, h11_namespace, h12_chain, h15_menu_tree, h16_first_url, h18_prefix, h19_app_key, h20_prefix_vote, h21_explode, h22_placeholder, h24_orphans, h30_page_links, h32_grid_labels, h36_body_hash, i1_chunks, i4_topk)
+    for f in (h1_url, h11_namespace, h12_chain, h15_menu_tree, h16_first_url, h17_menu, h34_front_only, h18_prefix, h19_app_key, h20_prefix_vote, h21_explode, h22_placeholder, h24_orphans, h30_page_links, h32_grid_labels, h36_body_hash, i1_chunks, i4_topk)
 }
 SQL = {
-    "h1_url": H1, "h11_namespace": H11, "h12_chain": H12, "h15_menu_tree": H15, "h16_first_url": H16, "h18_prefix": H18, "h19_app_key": H19, "h20_prefix_vote": H20, "h21_explode": H21, "h22_placeholder": H22,
+    "h1_url": H1, "h11_namespace": H11, "h12_chain": H12, "h15_menu_tree": H15, "h16_first_url": H16, "h17_menu": H17, "h34_front_only": H34, "h18_prefix": H18, "h19_app_key": H19, "h20_prefix_vote": H20, "h21_explode": H21, "h22_placeholder": H22,
     "h24_orphans": H24, "h30_page_links": f"SELECT * FROM {values_sql('path string, url string', PAGE_ROWS)}", "h36_body_hash": H36, "i1_chunks": I1, "i4_topk": I4,
     "h32_grid_labels": f"SELECT * FROM {values_sql('field string, label string, n int, n_files int', [('ordNo', '주문번호', 2, 2), ('qty', '수량', 1, 1)])}",
 }
