@@ -40,20 +40,29 @@ COVER = 0.5
 EXACT = -1
 
 
-def keys(text: str) -> str:
-    """The keystrokes that type text, in lower case but for shifted Korean letters: equal for the Korean
-    and the Latin writing of the same keys, one edit apart for most typing errors. Blanks and punctuation drop."""
-    out = []
-    for c in text:
-        n = ord(c)
+class Keystrokes(dict):
+    """The keystrokes of each character, worked out when it first comes."""
+
+    def __missing__(self, c: str) -> str:
+        n, out = ord(c), ""
         if 0xAC00 <= n <= 0xD7A3:
             n -= 0xAC00
-            out.append(INITIAL[n // 588] + MEDIAL[n % 588 // 28] + (FINAL[n % 28] if n % 28 else ""))
+            out = INITIAL[n // 588] + MEDIAL[n % 588 // 28] + (FINAL[n % 28] if n % 28 else "")
         elif 0x3131 <= n <= 0x3163:
-            out.append(SINGLE[n - 0x3131])
+            out = SINGLE[n - 0x3131]
         elif c.isalnum():
-            out.append(c.lower())
-    return "".join(out)
+            out = c.lower()
+        self[c] = out
+        return out
+
+
+STROKES = Keystrokes()
+
+
+def keys(text: str) -> str:
+    """The keystrokes that type text, in lower case but for shifted Korean letters: equal for the Korean
+    and the Latin writing of the same keys, one edit apart for most typing errors. Blanks and punctuation drop."""
+    return "".join(map(STROKES.__getitem__, text))
 
 
 def near(a: str, b: str, most: int) -> int:
@@ -152,12 +161,17 @@ class Catalog:
             self.exact.update(names)
             self.alias.update(dict.fromkeys(own, i))
             self.shown[i] = seen
-        self.by_gram: dict[str, list[str]] = defaultdict(list)
-        self.grams = {k: grams(k) for k in self.alias}
         self.longest = max(map(len, self.alias), default=0)
-        for k, g in self.grams.items():
+        self.names = list(self.alias)
+        self.lengths = np.array([len(k) for k in self.names], np.int64)
+        sets = [grams(k) for k in self.names]
+        self.sizes = np.array([len(g) for g in sets], np.int64)
+        held: dict[str, list[int]] = defaultdict(list)
+        for at, g in enumerate(sets):
             for x in g:
-                self.by_gram[x].append(k)
+                held[x].append(at)
+        #: The places of the aliases that hold each token.
+        self.by_gram = {x: np.array(at, np.int64) for x, at in held.items()}
         self.automaton = ahocorasick.Automaton()
         for k, i in self.alias.items():
             self.automaton.add_word(k, (len(k), i))
@@ -174,7 +188,7 @@ class Catalog:
             found = list(self.automaton.iter(keys(form)))
             if not found:
                 continue
-            ends = list(itertools.accumulate((len(keys(c)) for c in form), initial=0))
+            ends = list(itertools.accumulate(map(len, map(STROKES.__getitem__, form)), initial=0))
             for end, (n, i) in found:
                 start, end = end + 1 - n, end + 1
                 a, b = bisect_right(ends, start) - 1, bisect_left(ends, end)
@@ -191,16 +205,13 @@ class Catalog:
         best = (FAR, 0.0, 0)
         if len(k) < 3 or len(k) > self.longest + SLIP:
             return best
-        own, hits = grams(k), defaultdict(int)
-        for g in own:
-            for x in self.by_gram.get(g, ()):
-                hits[x] += 1
-        for x, n in hits.items():
-            if abs(len(x) - len(k)) > SLIP:
-                continue
-            score = 2 * n / (len(own) + len(self.grams[x]))
-            if score < self.least:
-                continue
+        own = grams(k)
+        held = [self.by_gram[g] for g in own if g in self.by_gram]
+        if not held:
+            return best
+        scores = 2 * np.bincount(np.concatenate(held), minlength=len(self.names)) / (len(own) + self.sizes)
+        for at in np.flatnonzero((scores >= self.least) & (np.abs(self.lengths - len(k)) <= SLIP)):
+            x, score = self.names[at], float(scores[at])
             i, cost = self.alias[x], near(k, x, 1)
             if cost > 1 and len(seen) >= 3:
                 cost = 1.5 if any(self._syllable(seen, y) for y in self.shown[i]) else 9
