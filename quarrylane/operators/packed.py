@@ -324,11 +324,20 @@ def _supported(spans: DataFrame, single: DataFrame) -> DataFrame:
 
 def _characters(types: DataFrame) -> DataFrame:
     """src_field, name, x: the characters of the types (src_field, value, count), how many types there are, their counts'
-    sum, and how many count once."""
-    each = types.select("src_field", "count", F.explode(F.array_append(F.transform(F.filter(F.split("value", ""), lambda c: c != ""), lambda c: F.concat(F.lit("c"), c)), F.lit("types"))).alias("name"))
-    sums = each.groupBy("src_field", "name").agg(F.count("*").cast("double").alias("x"), F.sum("count").alias("total"), F.count(F.when(F.col("count") < 1.5, 1)).cast("double").alias("once"))
-    whole = sums.filter("name = 'types'").select("src_field", F.explode(F.create_map(F.lit("total"), "total", F.lit("once"), "once")).alias("name", "x"))
-    return sums.select("src_field", "name", "x").unionByName(whole)
+    sum, and how many count once; put together in each partition first."""
+
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums: dict[str, Counter] = {}
+        for b in batches:
+            for f, own in b.groupby("src_field"):
+                at = sums.setdefault(f, Counter())
+                chars = Counter("".join(own["value"]))
+                at.update({"c" + c: float(n) for c, n in chars.items()})
+                at.update({"types": float(len(own)), "total": float(own["count"].sum()), "once": float((own["count"] < 1.5).sum())})
+        yield pd.DataFrame([(f, k, x) for f, own in sums.items() for k, x in own.items()], columns=["src_field", "name", "x"])
+
+    each = types.select("src_field", "value", "count").mapInPandas(work, "src_field string, name string, x double")
+    return each.groupBy("src_field", "name").agg(F.sum("x").alias("x"))
 
 
 def _bases(rows: list[Row]) -> dict[str, Base]:
